@@ -52,8 +52,8 @@ def _reassembled(least: int):
                     lines = [x for x in lines if (h := _hash(x, least)) is None or h not in gone]
                 dropped.append(total[-1] - len(lines))
                 kept.append(b"\n".join(lines))
-            own = [batch.column(n) for n in batch.schema.names if n not in ("text", "gone")]
             names = [n for n in batch.schema.names if n not in ("text", "gone")]
+            own = [batch.column(n) for n in names]
             new = [pa.array(total, pa.int64()), pa.array(dropped, pa.int64()), pc.cast(pa.array(kept, pa.binary()), pa.string())]
             yield pa.RecordBatch.from_arrays([*own, *new], names=[*names, "n_lines", "n_dropped", "kept_text"])
 
@@ -61,9 +61,9 @@ def _reassembled(least: int):
 
 
 def drop_shared_lines(
-    docs: DataFrame, min_docs: int = 5, min_chars: int = 40, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, min_docs: int = 5, min_chars: int = 40, id_col: str = "doc_id", text_col: str = "text", keep_columns: bool = False
 ) -> DataFrame:
-    """One row per input row: doc_id, n_lines, n_dropped, kept_text.
+    """One row per input row: its id (or all its columns but the text), n_lines, n_dropped, kept_text.
 
     A line's key is the line without ASCII white space at its ends, A-Z lower-cased. Keys of at least
     ``min_chars`` code points that at least ``min_docs`` distinct ids hold lose all their lines except in the
@@ -71,13 +71,15 @@ def drop_shared_lines(
 
     Hashes (128 bits) are distinct within a document before they are shuffled, are counted in part on the
     map side, and only those that go come back to their documents. A null or empty text is one empty line. All
-    rows of one id count as one document; null ids count as one document smaller than all others. Other
-    columns are not read. An empty table gives an empty result.
+    rows of one id count as one document; null ids count as one document smaller than all others. Columns
+    of the names that the result adds are replaced. An empty table gives an empty result.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), id_key(id_col).alias("key_id"))
+    names = [c for c in (docs.columns if keep_columns else (id_col,)) if c not in ("n_lines", "n_dropped", "kept_text", text_col)]
+    source = docs.select(F.struct(*names).alias("_row"), F.col(text_col).cast("string").alias("text"), id_key(id_col).alias("key_id"))
     lines = source.select("key_id", "text").mapInArrow(_exploded(min_chars), "key_id long, hash binary")
     lines = Scratch(docs.sparkSession).table(lines.distinct())
     shared = lines.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.max("key_id").alias("keeper")).where(F.col("n") >= min_docs)
     gone = lines.join(shared, "hash").where("key_id != keeper").groupBy("key_id").agg(F.collect_list("hash").alias("gone"))
-    joined = source.join(gone, "key_id", "left").select("doc_id", "text", "gone")
-    return joined.mapInArrow(_reassembled(min_chars), "doc_id long, n_lines long, n_dropped long, kept_text string")
+    joined = source.join(gone, "key_id", "left").select("_row", "text", "gone")
+    schema = source.select("_row").schema.add("n_lines", "long").add("n_dropped", "long").add("kept_text", "string")
+    return joined.mapInArrow(_reassembled(min_chars), schema).select("_row.*", "n_lines", "n_dropped", "kept_text")

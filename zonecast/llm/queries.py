@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonecast.llm import embedding_dedup, html_extract, line_dedup, pii, simhash_dedup, substring_dedup, url_filter
+from zonecast.llm import (
+    decontaminate,
+    embedding_dedup,
+    html_extract,
+    line_dedup,
+    mixing,
+    pii,
+    quality,
+    simhash_dedup,
+    substring_dedup,
+    url_filter,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +43,18 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(_table(spark, sf_dir, "documents"), max_repetition=4.0)
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.benchmark_passages(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 #: The contract's rules for urls. Fixed values.
 URL_RULES = [
     ("allow", "com/"),
@@ -68,6 +91,9 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_pii": op2_pii,
+    "op3_mix_sources": op3_mix_sources,
+    "op4_quality": op4_quality,
+    "op5_decontaminate": op5_decontaminate,
     "op8_url_filter": op8_url_filter,
     "op6_simhash_dedup": op6_simhash_dedup,
     "op7_html_extract": op7_html_extract,
