@@ -1,0 +1,188 @@
+"""Messages, keyed tables and streams."""
+
+from __future__ import annotations
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from tests.test_demand import DAY, events
+from zonecast import schemas
+from zonecast.functions import codec
+from zonecast.operators import demand, flows
+from zonecast.plans import queries
+from zonecast.sources import readers, tables
+from zonecast.streaming import jobs
+
+ONCE = {"availableNow": True}
+
+
+def messages(spark, *values):
+    rows = [(b"k", (v if isinstance(v, str) else json.dumps(v)).encode()) for v in values]
+    return spark.createDataFrame(rows, "key binary, value binary")
+
+
+def test_trip_events(spark):
+    whole = {"pickup_datetime_nyc": "2024-07-15 14:30:00", "dropoff_datetime_nyc": "2024-07-15 14:42:00", "PULocationID": 161, "DOLocationID": 236, "trip_miles": 2.5, "trip_time": 720.0, "hour_of_day": 14, "day_of_week": 2, "is_weekend": False, "is_rush_hour": False, "unknown": 1}
+    broken = [whole | {"pickup_datetime_nyc": None}, whole | {"PULocationID": None}, whole | {"dropoff_datetime_nyc": "no time"}, "not json"]
+    rows = codec.parse_trip_events(messages(spark, whole, *broken)).collect()
+    assert len(rows) == 1 and (rows[0].pu_zone_id, rows[0].do_zone_id, rows[0].trip_time_min) == (161, 236, 12.0)
+    assert list(rows[0].asDict()) == schemas.TRIP_EVENT.names
+
+
+def test_other_messages(spark):
+    row = {"time_bucket": "2026-05-10T12:15:00.000-04:00", "zone_id": 1, "pickup_count": 2, "dropoff_count": 3, "avg_temperature": None}
+    found = codec.parse_demand(messages(spark, row, row | {"time_bucket": "2026-05-10 12:15:00"}, row | {"zone_id": None}, row | {"time_bucket": "x"}))
+    assert {(str(r.time_bucket), r.avg_temperature) for r in found.withColumn("time_bucket", F.date_format("time_bucket", "HH:mm")).collect()} == {("12:15", None)} and found.count() == 2
+    alert = {"detected_at": "2026-05-10T12:15:00Z", "zone_id": 1, "demand_current": 5, "ratio": None, "severity": "warning"}
+    assert codec.parse_alerts(messages(spark, alert, alert | {"detected_at": None})).count() == 1
+    flow = {"time_window": "2026-05-10T12:00:00Z", "origin_zone_id": 230, "dest_zone_id": 138, "trip_count": 5}
+    parsed = codec.parse_flows(messages(spark, flow, flow | {"dest_zone_id": None}))
+    assert parsed.columns == schemas.FLOW.names and parsed.count() == 1
+    sent = codec.flow_messages(parsed).first()
+    assert sent.key == "230" and list(json.loads(sent.value)) == schemas.FLOW.names
+
+
+def test_merge_and_append(spark):
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    new = spark.createDataFrame([(2, "c"), (2, "d"), (3, None), (None, "x")], "k int, v string")
+    once = tables.merge(old, new, ("k",))
+    assert {tuple(r) for r in once.collect()} == {(1, "a"), (2, "d"), (3, None)}
+    assert tables.merge(once, new, ("k",)).exceptAll(once).count() == 0
+    assert {r.k for r in tables.append_missing(old, new, ("k",)).collect()} == {3, None}
+    assert tables.last_wins(new.select("k"), ("k",), ("k",)).count() == 2
+
+
+def flow_rows(spark, *rows):
+    return spark.createDataFrame(rows, "t string, origin_zone_id int, dest_zone_id int, trip_count int").select(F.to_timestamp("t").alias("time_window"), "origin_zone_id", "dest_zone_id", "trip_count")
+
+
+def test_store(spark, tmp_path):
+    """Degrees cover the whole window over batches; a batch that comes again changes nothing."""
+    store = tables.TableStore(spark, f"file://{tmp_path}/store")
+    assert store.read("network_flows").count() == 0
+    first = flow_rows(spark, (DAY + "14:00", 1, 2, 5), (DAY + "14:00", 1, 3, 1), ("2024-07-16 14:00", 1, 2, 7))
+    assert store.write("network_flows", first, 0) and not store.write("network_flows", first, 0)
+    assert store.write("network_flows", flow_rows(spark, (DAY + "14:00", 1, 4, 10), (DAY + "14:00", 1, 3, 2), (DAY + "14:00", 1, 3, 2)), 1)
+    assert not store.write("network_flows", first.where("false"), 2)
+    found = {(r.day, r.dest_zone_id): (r.trip_count, r.in_degree, r.out_degree) for r in store.read("network_flows").withColumn("day", F.dayofmonth("time_window")).collect()}
+    assert found == {(15, 2): (5, 5, 17), (15, 3): (2, 2, 17), (15, 4): (10, 10, 17), (16, 2): (7, 7, 7)}
+
+
+def test_csv(spark, tmp_path):
+    path = tables.write_single_csv(spark.createDataFrame([(1, 0, 0.5)], schemas.BASELINE), f"{tmp_path}/b.csv")
+    tables.write_single_csv(spark.createDataFrame([(2, 1, 1.5)], schemas.BASELINE), path)
+    assert [tuple(r) for r in readers.read_baseline(spark, path).collect()] == [(2, 1, 1.5)]
+    with open(f"{tmp_path}/w.csv", "w") as f:
+        f.write("observation_time,station_id,temperature_c,precipitation_mm,wind_speed_ms,humidity_pct,weather_condition\n2024-07-15T18:00:00,K,1.0,NaN,,3,Rain\n2024-07-15T14:00:00-04:00,K,1,2,3,4,Rain\nbad,K,1,2,3,4,x\n")
+    rows = readers.read_weather(spark, f"{tmp_path}/w.csv").collect()
+    assert len(rows) == 2 and rows[0].observation_time == rows[1].observation_time and rows[0].precipitation_mm is None
+
+
+def test_trip_files(spark, tmp_path):
+    rows = events(spark, (DAY + "14:30", None, 161, 1), (None, None, 162, 1)).withColumn("hvfhs_license_num", F.lit("x"))
+    rows.withColumnRenamed("pickup_datetime", "pickup_ts").write.parquet(f"{tmp_path}/a")
+    rows.drop("trip_miles").write.parquet(f"{tmp_path}/b")
+    assert readers.read_trips(spark, f"{tmp_path}/a").count() == 1 and readers.read_trips(spark, f"{tmp_path}/a", "pickup_datetime").columns == ["pickup_datetime"]
+    with pytest.raises(ValueError, match="trip_miles"):
+        readers.read_trips(spark, f"{tmp_path}/b")
+    assert readers.newest_file(spark, f"{tmp_path}/b").startswith("file:")
+
+
+def test_replay(spark):
+    rows = spark.createDataFrame([(k, f"2024-07-15 14:{k:02d}:00") for k in range(5)], "id long, t string").select("id", F.to_timestamp("t").alias("at"))
+    assert {r.id: r.gap_seconds for r in tables.gaps(rows, "at", "id", speed=60).collect()} == {0: 0.0, 1: 1.0, 2: 1.0, 3: 1.0, 4: 1.0}
+    assert tables.anchored(rows, ("at",)).exceptAll(rows).count() == 0
+    now = tables.anchored(rows, ("at",), "now").agg(F.min(F.abs(F.unix_seconds("at") - F.unix_seconds(F.current_timestamp())))).first()[0]
+    assert now < 120
+    with pytest.raises(ValueError, match="anchor"):
+        tables.anchored(rows, ("at",), "then")
+
+
+def streamed(spark, df, path, parts=1):
+    df.repartition(parts).write.parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def trip_rows(spark, count=40):
+    return spark.range(count).select(
+        (F.to_timestamp(F.lit(DAY + "08:00")) + F.make_dt_interval(mins=F.col("id").cast("int") * 7)).alias("pickup_datetime"),
+        (F.to_timestamp(F.lit(DAY + "08:05")) + F.make_dt_interval(mins=F.col("id").cast("int") * 7)).alias("dropoff_datetime"),
+        (F.col("id") % 2).cast("int").alias("PULocationID"), (F.col("id") % 2).cast("int").alias("DOLocationID"),
+        F.col("id").cast("double").alias("trip_miles"), F.lit(60.0).alias("trip_time"), F.lit(1.0).alias("weather_temperature_c"), F.lit(None).cast("double").alias("weather_precipitation_mm"),
+    )
+
+
+def test_streams_equal_tables(spark, tmp_path):
+    """Every window that the watermark has passed is out once, with the table's numbers."""
+    rows = trip_rows(spark)
+    got = queries._run(jobs.demand_stream(streamed(spark, rows, f"{tmp_path}/d")), "t1")
+    last = rows.agg(F.max("dropoff_datetime")).first()[0]
+    closed = demand.zone_demand(rows).where(F.col("time_bucket") + F.expr("interval 45 minutes") <= F.lit(last))
+    assert got.exceptAll(closed).count() == 0 and closed.exceptAll(got).count() == 0 and got.count() > 20
+    late = queries._run(jobs.flow_stream(streamed(spark, rows, f"{tmp_path}/f")), "t2")
+    assert late.exceptAll(flows.od_flows(rows)).count() == 0 and late.count() >= 6
+
+
+def test_late_rows_are_dropped(spark, tmp_path):
+    path = f"{tmp_path}/late"
+    stream = streamed(spark, trip_rows(spark, 40), path)
+    checkpoint, out = f"{tmp_path}/c", f"{tmp_path}/o"
+    run = lambda: jobs.flow_stream(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(**ONCE).start().awaitTermination()
+    run()
+    before = spark.read.parquet(out).count()
+    trip_rows(spark, 1).write.mode("append").parquet(path)
+    run()
+    assert spark.read.parquet(out).count() == before
+
+
+def test_weather_stream(spark, tmp_path):
+    """Matches come at once; trips without weather wait for the slower watermark."""
+    trips = trip_rows(spark, 30).drop("weather_temperature_c", "weather_precipitation_mm")
+    seen = spark.createDataFrame([(DAY + "08:30", "K", 9.0)], "t string, station_id string, temperature_c double").select(
+        F.to_timestamp("t").alias("observation_time"), "station_id", "temperature_c", *(F.lit(0.0).alias(c) for c in ("precipitation_mm", "wind_speed_ms", "humidity_pct")), F.lit("Clear").alias("weather_condition")
+    )
+    joined = queries._run(jobs.weather_stream(streamed(spark, trips, f"{tmp_path}/t"), streamed(spark, seen, f"{tmp_path}/w")), "t3")
+    assert joined.count() == joined.where("weather_temperature_c = 9.0").count() == trips.where(F.hour("pickup_datetime") == 8).count()
+
+
+def test_demand_fan_out(spark, tmp_path):
+    rows = trip_rows(spark)
+    base = spark.createDataFrame([(z, h, 0.1 if z else 4.0) for z in (0, 1) for h in range(168)], schemas.BASELINE)
+    sent = {"d": 0, "a": 0}
+
+    def count(name):
+        def write(batch, _):
+            sent[name] += batch.count()
+
+        return write
+
+    jobs.start_demand(streamed(spark, rows, f"{tmp_path}/x"), base, count("d"), count("a"), f"{tmp_path}/ck", ONCE).awaitTermination()
+    last = rows.agg(F.max("dropoff_datetime")).first()[0]
+    closed = demand.zone_demand(rows).where(F.col("time_bucket") + F.expr("interval 45 minutes") <= F.lit(last))
+    alerts = demand.hotspots(demand.attach_baseline(closed, base))
+    assert sent == {"d": closed.count(), "a": alerts.count()} and sent["a"] > 0
+
+
+def test_message_files(spark, tmp_path):
+    sent = codec.flow_messages(flows.od_flows(trip_rows(spark)))
+    sent.write.json(f"{tmp_path}/topic")
+    stream = readers.stream_messages(spark, "files", f"{tmp_path}/topic", per_trigger=1)
+    jobs.start_messages(readers.describe_messages(stream), "memory", "", "smoke", ONCE).awaitTermination()
+    assert spark.table("smoke").count() == sent.count()
+    store = tables.TableStore(spark, f"file://{tmp_path}/s")
+    stream = readers.stream_messages(spark, "files", f"{tmp_path}/topic", per_trigger=1)
+    jobs.start_sink(stream, "network_flows", store, f"{tmp_path}/k", ONCE).awaitTermination()
+    whole = flows.with_degrees(flows.od_flows(trip_rows(spark))).select(*schemas.FLOW_DEGREES.names)
+    assert store.read("network_flows").exceptAll(whole).count() == 0 and store.read("network_flows").count() == whole.count()
+    with pytest.raises(ValueError, match="kind"):
+        readers.stream_messages(spark, "other", "x")
+
+
+def test_settings(monkeypatch):
+    monkeypatch.setenv("SINK_OFFSETS", "earliest")
+    assert readers.starting_offsets("latest", "SINK_OFFSETS_X", "SINK_OFFSETS") == "earliest" and readers.starting_offsets("latest", "NONE") == "latest"
+    assert jobs.trigger_of("flows") == {"processingTime": "30 minutes"}
+    monkeypatch.setenv("TRIGGER_FLOWS", "once")
+    assert jobs.trigger_of("flows") == ONCE and len(jobs.TOPICS) == 8

@@ -58,8 +58,7 @@ def parse_instant(text: Column) -> Column:
 
 def file_month(path: Column) -> Column:
     """The first day of the month that a trip file's name states, null for other names."""
-    year, month = (F.regexp_extract(path, FILE_MONTH, k) for k in (1, 2))
-    return F.when(year != "", F.make_date(F.try_to_number(year, F.lit("9999")).cast("int"), F.try_to_number(month, F.lit("99")).cast("int")))
+    return F.try_to_date(F.concat_ws("-", *(F.regexp_extract(path, FILE_MONTH, k) for k in (1, 2))), "yyyy-MM")
 
 
 def month_series(spark: SparkSession, first: str, last: str) -> DataFrame:
