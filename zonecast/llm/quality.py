@@ -133,7 +133,8 @@ def train_model(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: st
     totals = first.agg(F.count(F.lit(1)).alias("rows"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in LABELS)).first().asDict()
     words = tuple(_vocabulary(first, label, totals) for label in LABELS)
     width = len(shape("", [])) + 2 * len(LABELS)
-    blank = Model(words, np.zeros(width), np.ones(width), np.zeros((len(LABELS), width + 1)))
+    sure = np.array([-30.0, *np.zeros(width)])
+    blank = Model(words, np.zeros(width), np.ones(width), np.array([sure] * len(LABELS)))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,7 +149,7 @@ def train_model(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: st
     fits = []
     for label in LABELS:
         target = np.array([r[label] for r in held], float)
-        fits.append(fit_logistic((rows - mean) / scale, target) if 0 < target.sum() < len(target) else np.array([-30.0 if not target.sum() else 30.0, *np.zeros(width)]))
+        fits.append(fit_logistic((rows - mean) / scale, target) if 0 < target.sum() < len(target) else sure if not target.sum() else -sure)
     return Model(words, mean, scale, np.array(fits))
 
 
