@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import accumulate, repeat
 
@@ -12,10 +13,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonecast.llm.components import connected_components
-from zonecast.llm.shared import NULL_ID, Scratch, id_key
+from zonecast.llm.shared import NULL_ID, Scratch, id_key, shuffle_width
+from zonecast.llm.windows import mix
 
 HASH_SEED = 42
 BITS = 64
+#: Salts of the fingerprints that a similarity search takes together.
+SALTS = (0x0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+#: Rows with one variant that are compared in one place; more are compared in pairs of blocks of half as many.
+RUN_ROWS = 4096
 #: Adds up to this many single-byte counters before one could overflow.
 BLOCK = 255
 
@@ -142,5 +148,181 @@ def simhash_groups(
     return out.select("doc_id", "fp", component.alias("component_id"), (id_key("doc_id") == F.col("first")).alias("kept"))
 
 
+def bits_for(similarity: float, words: int) -> int:
+    """The differing bits, of those of all salts together, up to which documents count as that similar.
+
+    The Jaccard similarity of shingles of so many words stands for a share of words that are the same in both, that for
+    an angle, and that for a mean number of bits; two standard deviations are added.
+    """
+    same = (2 * similarity / (1 + similarity)) ** (1 / words)
+    share = math.acos(same) / math.pi
+    total = BITS * len(SALTS)
+    return round(total * share + 2 * math.sqrt(total * share * (1 - share)))
+
+
+def word_fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(key_id, fps): for each row a fingerprint of its distinct lower-cased words under every salt."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text in batch.column(1).cast(pa.binary()):
+                found = set((text.as_py() or b"").lower().split())
+                hashes = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
+                rows.append([fingerprint(mix(hashes ^ np.uint64(salt))) for salt in SALTS])
+            fps = np.array(rows, np.uint64).reshape(-1).view(np.int64)
+            lists = pa.ListArray.from_arrays(np.arange(0, len(fps) + 1, len(SALTS), dtype=np.int32), pa.array(fps))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["key_id", "fps"])
+
+    source = docs.select(id_key(id_col).alias("key_id"), F.col(text_col).cast("string").alias("text"))
+    return source.mapInArrow(run, "key_id long, fps array<long>")
+
+
+def _nearest_tree(count: int, u: np.ndarray, v: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """The pairs of a least spanning forest: as connected as all the pairs, and each row with its nearest."""
+    label, chosen = np.arange(count), []
+    rank = np.argsort(cost, kind="stable")
+    u, v, order = u[rank], v[rank], rank
+    while len(u):
+        first = np.full(count, len(u))
+        at = np.arange(len(u))
+        np.minimum.at(first, label[u], at)
+        np.minimum.at(first, label[v], at)
+        picked = np.unique(first[first < len(u)])
+        chosen.append(order[picked])
+        while True:
+            low = np.minimum(label[u[picked]], label[v[picked]])
+            new = label.copy()
+            np.minimum.at(new, label[u[picked]], low)
+            np.minimum.at(new, label[v[picked]], low)
+            new = new[new][label]
+            if (new == label).all():
+                break
+            label = new
+        open_ = label[u] != label[v]
+        u, v, order = u[open_], v[open_], order[open_]
+    return np.concatenate([np.empty(0, np.int64), *chosen])
+
+
+def _compare_runs(distance: int, limit: int | None):
+    """Rows (key, fp, node) sorted by key to links (u, v) within equal keys; rows of longer runs than the limit as they are (u node, v fp, key)."""
+
+    def links(key: np.ndarray, fp: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+        us, vs, costs = [], [], []
+        at, step = np.arange(len(key)), 1
+        while len(at := at[at + step < len(key)]):
+            at = at[key[at] == key[at + step]]
+            bits = np.bitwise_count(fp[at] ^ fp[at + step])
+            close = bits <= distance
+            us.append(at[close])
+            vs.append(at[close] + step)
+            costs.append(bits[close])
+            step += 1
+        u, v, cost = (np.concatenate([np.empty(0, np.int64), *x]) for x in (us, vs, costs))
+        kept = _nearest_tree(len(key), u, v, cost)
+        one, two = node[u[kept]], node[v[kept]]
+        return _links(np.minimum(one, two), np.maximum(one, two), None)
+
+    def _links(u: np.ndarray, v: np.ndarray, key: np.ndarray | None) -> pa.RecordBatch:
+        keys = pa.nulls(len(u), pa.int64()) if key is None else pa.array(key)
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), keys], names=["u", "v", "key"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = [np.empty(0, np.int64)] * 3
+        long = None
+        for batch in batches:
+            new = [batch.column(c).to_numpy() for c in ("key", "fp", "node")]
+            if long is not None:
+                stop = int(np.searchsorted(new[0], long, side="right"))
+                if stop:
+                    yield _links(new[2][:stop], new[1][:stop], new[0][:stop])
+                    new = [x[stop:] for x in new]
+                if not len(new[0]):
+                    continue
+                long = None
+            held = [np.concatenate([a, b]) for a, b in zip(held, new, strict=True)]
+            if not len(held[0]):
+                continue
+            starts = np.flatnonzero(np.concatenate([[True], held[0][1:] != held[0][:-1]]))
+            if limit is not None:
+                sizes = np.diff(np.append(starts, len(held[0])))
+                if (over := sizes > limit).any():
+                    gone = np.repeat(over, sizes)
+                    yield _links(held[2][gone], held[1][gone], held[0][gone])
+                    long = int(held[0][-1]) if over[-1] else None
+                    held = [x[~gone] for x in held]
+                    if not len(held[0]):
+                        continue
+                    starts = np.flatnonzero(np.concatenate([[True], held[0][1:] != held[0][:-1]]))
+            # The last run may go on in the next batch, unless it was just sent off.
+            stop = len(held[0]) if long is not None else int(starts[-1])
+            if stop:
+                yield links(*(x[:stop] for x in held))
+                held = [x[stop:] for x in held]
+        if len(held[0]):
+            yield links(*held)
+
+    return run
+
+
+def _sorted_links(keyed: DataFrame, distance: int, limit: int | None) -> DataFrame:
+    width = shuffle_width(keyed.sparkSession)
+    dealt = keyed.select("key", "fp", "node").repartition(width, "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(_compare_runs(distance, limit), "u long, v long, key long")
+
+
+def _candidate_links(nodes: DataFrame, distance: int, scratch: Scratch) -> DataFrame:
+    """(u, v) of nodes that agree in a one-wildcard variant of some segment under some salt and are within the distance there.
+
+    Of the pairs of one variant a least spanning forest is kept. Long runs of one variant are split into blocks, and every
+    pair of blocks is compared, so that no run is too long for a task and none is cut.
+    """
+    segments = _segments(distance)
+    every = F.explode(F.sequence(F.lit(0), F.lit(BITS * len(SALTS) - 1))).alias("slot")
+    slots = nodes.select(F.col("least").alias("node"), "fps", every)
+    bit, salt = F.col("slot").bitwiseAND(F.lit(BITS - 1)), F.shiftright("slot", 6)
+    parts = slots.select("node", bit.alias("bit"), salt.alias("salt"), F.get("fps", salt).alias("fp"))
+    variant = _variant_key(F.col("fp"), F.col("bit"), segments).bitwiseOR(F.shiftleft(F.col("salt").cast("long"), 56))
+    found = scratch.table(_sorted_links(parts.select("node", "fp", variant.alias("key")), distance, RUN_ROWS))
+    edges = found.where("key is null").select("u", "v")
+    rest = found.where("key is not null").select(F.col("u").alias("node"), F.col("v").alias("fp"), "key")
+    counts = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) * 2 / RUN_ROWS).cast("int").alias("blocks")).withColumnRenamed("key", "own")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    pairs = rest.join(counts, F.col("key") == F.col("own")).withColumn("mine", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    block_key = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))
+    return edges.union(_sorted_links(pairs.select(block_key.alias("key"), "fp", "node"), distance, None).select("u", "v")).distinct()
+
+
+def near_duplicate_groups(
+    docs: DataFrame, similarity: float = 0.8, words: int = 5, distance: int = 4, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row per input row: doc_id, component_id, kept; for documents that are as similar in shingles of ``words`` words.
+
+    A fingerprint of shingles loses a bit in seven at that similarity, too many for an index, so the fingerprints are of
+    distinct words, four with different salts, and candidates are within ``distance`` bits under one of them. A candidate is
+    a link if all four together differ in at most bits_for(similarity, words) bits. Unrelated documents differ in a quarter
+    of the bits and more.
+
+    Rows of one id are one document. A null or blank text has no words: such documents are one group. A null id counts as
+    smallest and its group's component_id is null. Copies are one node. Other columns are not read; an empty table gives
+    an empty result.
+    """
+    scratch = Scratch(docs.sparkSession)
+    marked = scratch.table(word_fingerprints(docs, id_col, text_col))
+    nodes = scratch.table(marked.groupBy("fps").agg(F.min("key_id").alias("least")))
+    links = _candidate_links(nodes, distance, scratch)
+    one, two = (nodes.select(F.col("least").alias(f"_{c}"), F.col("fps").alias(f"fps_{c}")) for c in "uv")
+    differing = sum((F.bit_count(F.get("fps_u", F.lit(k)).bitwiseXOR(F.get("fps_v", F.lit(k)))) for k in range(len(SALTS))), F.lit(0))
+    checked = links.join(one, F.col("u") == F.col("_u")).join(two, F.col("v") == F.col("_v")).where(differing <= bits_for(similarity, words))
+    groups = connected_components(checked.select("u", "v"), scratch)
+    named = nodes.join(groups, F.col("least") == F.col("node"), "left").select(F.col("fps").alias("own"), F.coalesce("component", "least").alias("component"))
+    out = marked.join(named, F.col("fps") == F.col("own"), "left")
+    return out.select(
+        F.nullif("key_id", F.lit(NULL_ID)).alias("doc_id"),
+        F.nullif("component", F.lit(NULL_ID)).alias("component_id"),
+        (F.col("key_id") == F.col("component")).alias("kept"),
+    )
+
+
 def hex_fingerprint(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
