@@ -164,13 +164,20 @@ def _deal(forest: list[Tree], width: int, blocks: dict[int, int]):
     return run
 
 
-def _first_meeting(one: np.ndarray, two: np.ndarray, leaf: int) -> np.ndarray:
-    """Whether no earlier leaf holds both rows of a pair; rows are ascending leaves, padded."""
-    met = np.zeros(len(one), bool)
-    for a in range(one.shape[1]):
-        for b in range(two.shape[1]):
-            met |= (one[:, a] == two[:, b]) & (one[:, a] < leaf)
-    return ~met
+def _earlier(lists: list[list[int]], leaf: int) -> np.ndarray:
+    """For each row a bit for every earlier leaf that it shares with another row here; two rows met there if their bits do."""
+    counts: dict[int, int] = {}
+    for own in lists:
+        for other in own:
+            if other < leaf:
+                counts[other] = counts.get(other, 0) + 1
+    place = {other: k for k, other in enumerate(c for c, n in counts.items() if n > 1)}
+    bits = np.zeros((len(lists), len(place) // 64 + 1), np.uint64)
+    for k, own in enumerate(lists):
+        for other in own:
+            if (at := place.get(other)) is not None:
+                bits[k, at // 64] |= np.uint64(1 << (at % 64))
+    return bits
 
 
 def _roots(count: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -194,9 +201,7 @@ def _compare(threshold: float):
         leaf, i, j = (table.column(c)[0].as_py() for c in ("leaf", "i", "j"))
         reps, copies = table.column("rep").to_numpy(), table.column("copies").to_numpy()
         sides, lists = table.column("side").to_numpy(), table.column("leaves").to_pylist()
-        padded = np.full((len(lists), max(map(len, lists))), np.iinfo(np.int64).max)
-        for k, own in enumerate(lists):
-            padded[k, : len(own)] = own
+        bits = _earlier(lists, leaf)
         vectors = table.column("vector").to_pylist()
         lengths = np.array([len(v) for v in vectors])
         counts = np.zeros(len(reps), np.int64)
@@ -211,10 +216,11 @@ def _compare(threshold: float):
                 u, v = one[p + k], two[q]
                 fresh = (u < v) if i == j else np.ones(len(u), bool)
                 u, v = u[fresh], v[fresh]
-                fresh = _first_meeting(padded[u], padded[v], leaf)
-                u, v = u[fresh], v[fresh]
-                np.add.at(counts, u, copies[v])
-                np.add.at(counts, v, copies[u])
+                met = np.zeros(len(u), bool)
+                for word in bits.T:
+                    met |= (word[u] & word[v]) != 0
+                u, v = u[~met], v[~met]
+                counts += np.bincount(u, copies[v], len(reps)).astype(np.int64) + np.bincount(v, copies[u], len(reps)).astype(np.int64)
                 us.append(u)
                 vs.append(v)
         u, v = (np.concatenate([np.empty(0, np.int64), *x]) for x in (us, vs))
@@ -235,7 +241,7 @@ def near_duplicate_vectors(
     vectors: DataFrame,
     threshold: float = 0.95,
     trees: int = 4,
-    spill: float = 1.0,
+    spill: float = 0.5,
     sample_rows: int = 20_000,
     seed: int = 17,
     id_col: str = "vec_id",
