@@ -152,3 +152,50 @@ def test_empty_tables(empty):
     assert line_dedup.drop_shared_lines(empty).count() == 0
     assert substring_dedup.remove_repeated_windows(empty).count() == 0
     assert simhash_dedup.simhash_groups(empty).count() == 0
+
+
+def near_copies(count=12, copies=6):
+    """Long texts, each with copies in which one word in sixty is another, and one with many."""
+    rng = random.Random(21)
+    make = lambda n: ["".join(rng.choice(["th", "er", "an", "on", "re", "ou", "es"]) for _ in range(rng.randint(2, 5))) for _ in range(n)]
+    rows, groups = [], {}
+    for k in range(count):
+        base = make(300)
+        for c in range(40 if k == 0 else copies):
+            words = list(base)
+            for at in rng.sample(range(300), 3 if c else 0):
+                words[at] = "new" + "".join(make(1))
+            rows.append((k * 100 + c, " ".join(words)))
+            groups[k * 100 + c] = k * 100
+    return rows, groups
+
+
+@pytest.mark.parametrize("limit", [4096, 8])
+def test_near_copies(spark, monkeypatch, limit):
+    """All copies of a text are one group and no others are; long runs in blocks give the same."""
+    monkeypatch.setattr(simhash_dedup, "RUN_ROWS", limit)
+    rows, groups = near_copies()
+    found = simhash_dedup.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: r.component_id for r in found} == groups
+    assert {r.doc_id for r in found if r.kept} == set(groups.values())
+
+
+def test_near_copies_on_odd_tables(docs, empty):
+    found = simhash_dedup.near_duplicate_groups(docs).collect()
+    assert len(found) == docs.count() and simhash_dedup.near_duplicate_groups(empty).count() == 0
+    by_id = {r.doc_id: r.component_id for r in found}
+    assert by_id[1] == by_id[2] == by_id[3] == 1 and by_id[None] is None and {by_id[k] for k in (*range(40, 46), *range(50, 56))} == {40}
+
+
+def test_spanning_pairs():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        u, v = rng.integers(0, 20, 40), rng.integers(0, 20, 40)
+        u, v = u[u != v], v[u != v]
+        kept = simhash_dedup._nearest_tree(20, u, v, rng.integers(0, 5, len(u)))
+        whole, part = (plain_components(range(20), [(int(a), int(b)) for a, b in zip(u[k], v[k], strict=True)]) for k in (slice(None), kept))
+        assert whole == part and len(kept) == 20 - len(set(whole.values()))
+
+
+def test_bits_for_a_similarity():
+    assert simhash_dedup.bits_for(0.8, 5) == 26 and simhash_dedup.bits_for(1.0, 5) == 0 and simhash_dedup.bits_for(0.9, 5) < 26

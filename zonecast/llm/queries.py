@@ -101,4 +101,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+UPPER_LOWER_SQL = f"'{url_filter.UPPER}', '{url_filter.LOWER}'"
+
+#: The others need hashes, training or alignment that SQL lacks here; tests/llm holds them against plain versions.
+ORACLE_SQL: dict[str, str] = {
+    "op1_embedding_dedup": """
+with recursive v as (
+  select vec_id, cast(embedding as double[]) as e from embeddings),
+good as (select * from v where e is not null and len([x for x in e if x is null or not isfinite(x)]) = 0 and len([x for x in e if x <> 0]) > 0),
+half as (select a.vec_id as a, b.vec_id as b from good a join good b on a.vec_id < b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.95),
+links as (select a, b from half union all select b, a from half),
+reach as (select vec_id, vec_id as other from v union select r.vec_id, l.b from reach r join links l on r.other = l.a),
+counts as (select a, count(*) as n from links group by a),
+least as (select vec_id, min(other) as component_id from reach group by vec_id)
+select v.vec_id, coalesce(n, 0) as n_links, component_id, v.vec_id = component_id as kept
+from v join least using (vec_id) left join counts on v.vec_id = a""",
+    "op9_line_dedup": f"""
+with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as own from documents),
+l as (select doc_id, unnest(own) as line, generate_subscripts(own, 1) as pos from d),
+k as (select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), {UPPER_LOWER_SQL}) as key from l),
+shared as (select key, max(doc_id) as keeper from k where length(key) >= 40 group by key having count(distinct doc_id) >= 5)
+select doc_id, count(*) as n_lines, count(*) filter (keeper is not null and doc_id <> keeper) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (keeper is null or doc_id = keeper), '')) as kept_sha256
+from k left join shared using (key) group by doc_id""",
+    "op10_substring_dedup": r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+starts as (select doc_id, w, unnest(generate_series(1, len(w) - 34)) as i from d),
+wins as (select doc_id, i, sha256(array_to_string(w[i:i + 34], ' ')) as h from starts),
+again as (select h from wins group by h having count(*) > 1),
+gone as (select distinct doc_id, i + o as pos from (select doc_id, i, unnest(range(35)) as o from wins where h in (select h from again))),
+words as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as pos from d),
+kept as (select doc_id, string_agg(word, ' ' order by pos) as text from words anti join gone using (doc_id, pos) group by doc_id),
+lost as (select doc_id, count(*) as n from gone group by doc_id)
+select d.doc_id, len(w) as n_words, coalesce(n, 0) as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256
+from d left join kept using (doc_id) left join lost using (doc_id)""",
+}
