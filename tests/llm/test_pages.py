@@ -131,7 +131,7 @@ def test_url_held_out():
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header>Site name</header><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="cookie-notice">We use cookies</div>
 <div class="ad">Buy</div><article><h1>The &amp; title</h1><p>One <b>bold
- text.<br><p>Two &lt;tags&gt; &eacute;&#33;</p><aside>See also</aside><form>Name <input></form><div class="share">Share</div><p></p><ul><li>Item</li></ul><p>%s</p></article>
+ text.<br><p>Two &lt;tags&gt; &eacute;&#33;</p><aside>See also</aside><form>Name <input></form><div class="share">Share</div><p class="cookie-notice">Cookies</p><p class="lead"></p><p></p><ul><li>Item</li></ul><p>%s</p></article>
 <section id="comments"><p>Nice!</p></section><footer>&copy; us</footer></body></html>"""
 
 
@@ -140,7 +140,9 @@ def test_main_text():
     assert text == "The & title\n\nOne bold text.\n\nTwo <tags> é!\n\nItem\n\nEnd"
     assert html_extract.main_text("", None, set()) == "" and html_extract.main_text("just text", None, set()) == "just text"
     assert html_extract.main_text("<article><p>cut off", None, set()) == "cut off"
-    for flood in ("<" * 50_000, "<div>" * 5_000, "<a \"" * 20_000, "&" * 50_000, "<!--" * 50_000):
+    for cut, text in (("<p>a<b", "a"), ("<p>a < b", "a < b"), ("<p>x</p><!-- y", "x"), ("<p>1 <2 <p", "1 <2"), ("t <a href='q", "t"), ("<p>a<b</p>", "a<b")):
+        assert html_extract.main_text(cut, None, set()) == text
+    for flood in ("<" * 50_000, "<p class=" * 20_000, "<a \"" * 20_001 + ">", "<div>" * 5_000, "<a \"" * 20_000, "&" * 50_000, "<!--" * 50_000):
         html_extract.main_text(flood, None, set())
 
 

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from zonecast.llm.url_filter import split_url
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<", re.S)
+#: A comment or a tag that the page ends in.
+CUT_OFF = re.compile(r"<(?:!--.*|/?[A-Za-z][^<>]*\Z)|(?!)(.)(.)(.)", re.S)
 #: Elements whose content is not markup: it runs to the element's own end tag.
 RAW = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg")}
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -31,6 +33,8 @@ DROPPED_NAMES = frozenset(
 )
 NAME = re.compile(r"[a-z]+")
 MAIN_TAGS = ("article", "main")
+#: Containers that a path names; what is nested deeper counts to the last of them.
+PATH_DEPTH = 60
 #: Pages of a host, at least, for text that all of them hold to count as template.
 TEMPLATE_PAGES = 10
 
@@ -52,16 +56,18 @@ class Page:
     def _parse(self, source: str) -> None:
         stack: list[tuple[str, str, bool]] = [("", "", False)]
         parts: list[str] = []
+        block_gone = False
 
         def close_block() -> None:
             text = " ".join("".join(parts).split())
             parts.clear()
             if text:
-                self.blocks.append((stack[-1][1], text, stack[-1][2]))
+                self.blocks.append((stack[-1][1], text, stack[-1][2] or block_gone))
 
-        at, size = 0, len(source)
+        at, size, last = 0, len(source), source.rfind(">")
         while at < size:
-            found = TOKEN.search(source, at)
+            # Behind the last > there is no whole tag; a comment cut off is no text.
+            found = TOKEN.search(source, at) if at <= last else CUT_OFF.search(source, at)
             if not found:
                 parts.append(html.unescape(source[at:]))
                 break
@@ -82,7 +88,10 @@ class Page:
             if tag not in BLOCKS:
                 continue
             close_block()
+            block_gone = False
             if tag not in CONTAINERS:
+                if not ends and found.group(3):
+                    block_gone = _dropped(tag, " ".join(m[1] or m[2] or m[3] for m in NAMED.findall(found.group(3))))
                 continue
             if ends:
                 depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), None)
@@ -91,7 +100,9 @@ class Page:
                 continue
             names = " ".join(f"{m[0].lower()}={m[1] or m[2] or m[3]}" for m in NAMED.findall(found.group(3)))
             values = " ".join(m[1] or m[2] or m[3] for m in NAMED.findall(found.group(3)))
-            path = f"{stack[-1][1]}/{tag}" + (f"[{names}]" if names else "")
+            path = stack[-1][1]
+            if len(stack) <= PATH_DEPTH:
+                path += f"/{tag}" + (f"[{names}]" if names else "")
             inside = any(frame[0] in MAIN_TAGS for frame in stack)
             gone = stack[-1][2] or _dropped(tag, values) or (tag == "header" and not inside)
             stack.append((tag, path, gone))
