@@ -199,3 +199,22 @@ def test_spanning_pairs():
 
 def test_bits_for_a_similarity():
     assert simhash_dedup.bits_for(0.8, 5) == 26 and simhash_dedup.bits_for(1.0, 5) == 0 and simhash_dedup.bits_for(0.9, 5) < 26
+
+
+def test_components_over_many_partitions(spark, monkeypatch):
+    """Long paths and stars that no partition holds whole, contracted in small pieces."""
+    from zonecast.llm import components
+
+    monkeypatch.setattr(components, "HELD_EDGES", 40)
+    for key, value in (("spark.sql.adaptive.coalescePartitions.enabled", "false"), ("spark.sql.shuffle.partitions", "7")):
+        spark.conf.set(key, value)
+    try:
+        rng = random.Random(8)
+        order = rng.sample(range(400), 400)
+        edges = [(a, b) for a, b in zip(order[:300], order[1:301], strict=True)] + [(order[320], k) for k in order[321:]]
+        found = connected_components(spark.createDataFrame(edges, "u long, v long").repartition(7), Scratch(spark)).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    label = plain_components({x for e in edges for x in e}, edges)
+    assert {r.node: r.component for r in found} == label and len(found) == len(label)
