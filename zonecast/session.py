@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -39,8 +40,6 @@ def checkpoint_path(query: str) -> str:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the cluster's checkpoint folder, or a temporary one where none is set."""
-    import tempfile
-
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
