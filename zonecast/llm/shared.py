@@ -3,36 +3,24 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from zonecast.session import shared_folder
+
 #: Stands for a null id wherever ids are compared: one document, smaller than every other.
 NULL_ID = -(2**63)
 MASK64 = (1 << 64) - 1
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is configured, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if found.isDefined():
-            root = found.get()
-        else:
-            root = tempfile.mkdtemp(prefix="zonecast-")
-            spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
 class Scratch:
     """Parquet tables in the shared folder. They cut lineage, survive lost executors and go when dropped or at exit."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.folder = f"{checkpoint_root(spark)}/zonecast-{uuid.uuid4().hex}"
+        self.folder = f"{shared_folder(spark)}/zonecast-{uuid.uuid4().hex}"
         self.count = 0
         atexit.register(self._remove, self.folder)
 
