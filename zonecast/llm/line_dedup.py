@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonecast.llm.shared import Scratch, id_key
+from zonecast.llm.shared import Scratch, id_key, shuffle_width
 
 SPACE = b" \t\n\x0b\x0c\r"
 
@@ -69,17 +69,22 @@ def drop_shared_lines(
     ``min_chars`` code points that at least ``min_docs`` distinct ids hold lose all their lines except in the
     largest id that holds them. Other lines stay in place.
 
-    Hashes (128 bits) are distinct within a document before they are shuffled, are counted in part on the
-    map side, and only those that go come back to their documents. A null or empty text is one empty line. All
+    Hashes (128 bits) are distinct within a row before they are shuffled, are counted within groups of documents and
+    then over the groups, and only those that go come back to their documents. A null or empty text is one empty line. All
     rows of one id count as one document; null ids count as one document smaller than all others. Columns
     of the names that the result adds are replaced. An empty table gives an empty result.
     """
     names = [c for c in (docs.columns if keep_columns else (id_col,)) if c not in ("n_lines", "n_dropped", "kept_text", text_col)]
     source = docs.select(F.struct(*names).alias("_row"), F.col(text_col).cast("string").alias("text"), id_key(id_col).alias("key_id"))
-    lines = source.select("key_id", "text").mapInArrow(_exploded(min_chars), "key_id long, hash binary")
-    lines = Scratch(docs.sparkSession).table(lines.distinct())
-    shared = lines.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.max("key_id").alias("keeper")).where(F.col("n") >= min_docs)
-    gone = lines.join(shared, "hash").where("key_id != keeper").groupBy("key_id").agg(F.collect_list("hash").alias("gone"))
+    spark = docs.sparkSession
+    found = source.select("key_id", "text").mapInArrow(_exploded(min_chars), "key_id long, hash binary")
+    # Documents are dealt into groups, so that a line of a third of all documents is that of many groups and of no single task.
+    group = F.pmod(F.xxhash64("key_id"), F.lit(shuffle_width(spark))).cast("int")
+    lines = Scratch(spark).table(found.withColumn("g", group))
+    held = lines.groupBy("g", "hash").agg(F.count_distinct("key_id").alias("n"), F.max("key_id").alias("last"))
+    shared = held.groupBy("hash").agg(F.sum("n").alias("docs"), F.max("last").alias("keeper")).where(F.col("docs") >= min_docs)
+    told = held.select("g", "hash").join(shared.select("hash", "keeper"), "hash")
+    gone = lines.join(told, ["g", "hash"]).where("key_id != keeper").groupBy("key_id").agg(F.collect_set("hash").alias("gone"))
     joined = source.join(gone, "key_id", "left").select("_row", "text", "gone")
     schema = source.select("_row").schema.add("n_lines", "long").add("n_dropped", "long").add("kept_text", "string")
     return joined.mapInArrow(_reassembled(min_chars), schema).select("_row.*", "n_lines", "n_dropped", "kept_text")

@@ -12,7 +12,6 @@ from zonecast.session import shared_folder
 
 #: Stands for a null id wherever ids are compared: one document, smaller than every other.
 NULL_ID = -(2**63)
-MASK64 = (1 << 64) - 1
 
 
 class Scratch:
