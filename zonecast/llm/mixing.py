@@ -8,6 +8,8 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from zonecast.llm.shared import Scratch
+
 #: Documents of a block, about: the most rows that one task sorts.
 BLOCK_DOCS = 4096
 MAX_SOURCES = 100_000
@@ -94,7 +96,9 @@ def mix_sources(
     source = F.coalesce(F.col(source_col).cast("string"), F.lit("\x00null"))
     shuffle = F.xxhash64(F.lit(seed), F.col(id_col), F.xxhash64(F.col(text_col)))
     marked = docs.select(own, tokens.alias("n_tokens"), source.alias("_source"), shuffle.alias("_order"))
-    sums = marked.groupBy("_source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")).limit(MAX_SOURCES + 1).collect()
+    # Counted once: what follows reads the counts, and the texts only where they are asked for.
+    counted = Scratch(spark).table(marked.drop("_row") if keep_columns else marked)
+    sums = counted.groupBy("_source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")).limit(MAX_SOURCES + 1).collect()
     if len(sums) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     mix = solve({r._source: r.tokens for r in sums}, target_entropy, max_repetition, budget_tokens)
@@ -105,8 +109,12 @@ def mix_sources(
         ],
         "_plan string, weight double, blocks int, epochs long, rest long",
     )
-    # At most MAX_SOURCES rows.
-    dealt = marked.join(F.broadcast(plan), F.col("_source") == F.col("_plan")).withColumn("block", F.pmod("_order", F.col("blocks")).cast("int"))
+
+    def in_blocks(rows: DataFrame) -> DataFrame:
+        # At most MAX_SOURCES rows are broadcast.
+        return rows.join(F.broadcast(plan), F.col("_source") == F.col("_plan")).withColumn("block", F.pmod("_order", F.col("blocks")).cast("int"))
+
+    dealt = in_blocks(counted)
     keys = ("_source", "block")
     sizes = dealt.groupBy(*keys).agg(F.sum("n_tokens").alias("held"), F.first("rest").alias("own_rest"))
     # A row for each block, so that a source's window is small whatever the source's share.
@@ -130,7 +138,8 @@ def mix_sources(
     )
     whole = ranked.select(F.col("_source").alias("_r"), F.col("block").alias("_k"), "block_rank", (F.col("before") + F.col("held") <= F.col("own_rest")).alias("full"))
     joined = (
-        dealt.join(whole, (F.col("_source") == F.col("_r")) & (F.col("block") == F.col("_k")))
+        in_blocks(marked if keep_columns else counted)
+        .join(whole, (F.col("_source") == F.col("_r")) & (F.col("block") == F.col("_k")))
         .join(cut, (F.col("_source") == F.col("_c")) & (F.col("block") == F.col("_d")), "left")
     )
     extra = (F.col("full") | F.coalesce(F.col("_order") <= F.col("last"), F.lit(False))) & (F.col("n_tokens") > 0)
