@@ -17,7 +17,9 @@ from zonecast.llm.shared import Scratch
 #: Labelled documents that the classifier is fit on, at most: those of the least id hashes.
 TRAIN_ROWS = 20_000
 #: Words of a label's vocabulary, the documents that a word needs, and its least evidence in nats.
-VOCABULARY, LEAST_DOCS, LEAST_EVIDENCE = 5000, 6, 1.5
+VOCABULARY, LEAST_DOCS, LEAST_EVIDENCE = 5000, 4, 1.5
+#: Characters of a word's beginning.
+STEM = 5
 #: A site's posterior moves a document's log-odds by at most this much, either way.
 SITE_REACH = 1.0
 LABELS = ("low_quality", "toxic")
@@ -37,7 +39,9 @@ for _code in range(256):
 
 
 def words_of(text: str) -> set[str]:
-    return set(WORD.findall(text.lower()))
+    """The distinct words, and the beginnings of the longer ones, which stand for forms that the sample lacks."""
+    found = set(WORD.findall(text.lower()))
+    return found | {w[:STEM] + "*" for w in found if len(w) > STEM}
 
 
 def shape(text: str, words: list[str]) -> list[float]:
@@ -169,7 +173,7 @@ def _logit(p: Column) -> Column:
     return F.log(inside / (1 - inside))
 
 
-def _shrink(level: DataFrame, mean: Column, spread: Column) -> Column:
+def _shrink(mean: Column, spread: Column) -> Column:
     """The posterior mean of a beta prior that has the parent's mean and the strength that the siblings' spread implies."""
     strength = F.least(F.greatest(mean * (1 - mean) / F.greatest(spread, F.lit(1e-6)) - 1, F.lit(2.0)), F.lit(1e6))
     return (F.col("sum_p") + strength * mean) / (F.col("n") + strength)
@@ -183,14 +187,13 @@ def site_posteriors(scored: DataFrame) -> DataFrame:
     paths = scored.groupBy("_host", "_path").agg(F.sum("p_doc").alias("sum_p"), F.count(F.lit(1)).alias("n"))
     hosts = paths.groupBy("_host").agg(F.sum("sum_p").alias("sum_p"), F.sum("n").alias("n"))
     deviation = F.col("sum_p") / F.col("n")
-    whole = hosts.agg((F.sum("sum_p") / F.sum("n")).alias("mean"), F.coalesce(F.var_pop(deviation), F.lit(0.0)).alias("spread"))
-    # One row.
-    host = hosts.crossJoin(F.broadcast(whole)).select(
-        F.col("_host").alias("_h"), F.col("mean").alias("prior"), _shrink(hosts, F.col("mean"), F.col("spread")).alias("host_mean")
-    )
+    # One row each, and numbers from then on.
+    whole = hosts.agg((F.sum("sum_p") / F.sum("n")).alias("mean"), F.coalesce(F.var_pop(deviation), F.lit(0.0)).alias("spread")).first()
+    mean = F.lit(whole["mean"]).cast("double")
+    host = hosts.select(F.col("_host").alias("_h"), _shrink(mean, F.lit(whole["spread"])).alias("host_mean"))
     joined = paths.join(host, F.col("_host") == F.col("_h"))
-    within = joined.agg(F.coalesce(F.avg((deviation - F.col("host_mean")) ** 2), F.lit(0.0)).alias("within"))
-    return joined.crossJoin(F.broadcast(within)).select("_host", "_path", _shrink(joined, F.col("host_mean"), F.col("within")).alias("site"), "prior")
+    within = joined.agg(F.coalesce(F.avg((deviation - F.col("host_mean")) ** 2), F.lit(0.0)).alias("within")).first()["within"]
+    return joined.select("_host", "_path", _shrink(F.col("host_mean"), F.lit(within)).alias("site"), mean.alias("prior"))
 
 
 def judge_quality(
