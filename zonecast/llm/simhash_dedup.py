@@ -71,8 +71,8 @@ def fingerprints(docs: DataFrame, words: int, id_col: str = "doc_id", text_col:
 
 
 def _segments(distance: int) -> list[tuple[int, int]]:
-    """(shift, width) of the fewest segments of which one differs by at most one bit within the distance."""
-    count = distance // 2 + 1
+    """(shift, width) of the fewest segments, two at least, of which one differs by at most one bit within the distance."""
+    count = max(2, distance // 2 + 1)
     widths = [BITS // count + (i < BITS % count) for i in range(count)]
     stops = list(accumulate(widths))
     return [(stop - width, width) for stop, width in zip(stops, widths, strict=True)]
