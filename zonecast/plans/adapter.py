@@ -41,7 +41,7 @@ def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_name").alias("zone_name"),
         F.col("r_name").alias("borough"),
         (F.col("n_nationkey") * 1.5).alias("centroid_lat"),
-        (F.col("n_nationkey") * -2.5).alias("centroid_lon"),
+        (F.col("n_nationkey") * 2.5 - 100).alias("centroid_lon"),
     )
 
 
@@ -75,7 +75,7 @@ FINE_SQL, COARSE_SQL = TRIPS_SQL.format(zones=FINE), TRIPS_SQL.format(zones=COAR
 ZONES_SQL = """
 zones as (
   select n_nationkey as zone_id, n_name as zone_name, r_name as borough,
-         n_nationkey * 1.5 as centroid_lat, n_nationkey * -2.5 as centroid_lon
+         cast(n_nationkey as double) * 1.5 as centroid_lat, cast(n_nationkey as double) * 2.5 - 100 as centroid_lon
   from nation join region on n_regionkey = r_regionkey)"""
 WEATHER_SQL = """
 weather as (
