@@ -473,7 +473,7 @@ def stream_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
 STREAM_WEATHER_SQL = f"""with {a.FINE_SQL}, {a.WEATHER_SQL},
 mark as (select least((select max(date_trunc('hour', pickup_datetime)) from trips) - interval '30 minutes', (select max(date_trunc('hour', observation_time)) from weather) - interval '2 hours') as m)
 select event_id, w.temperature_c as weather_temperature_c, w.weather_condition from trips left join weather w on date_trunc('hour', pickup_datetime) = date_trunc('hour', observation_time), mark
-where w.observation_time is not null or date_trunc('hour', pickup_datetime) < m"""
+where w.observation_time is not null or date_trunc('hour', pickup_datetime) <= m"""
 
 
 @query(STREAM_WEATHER_SQL)
