@@ -21,7 +21,9 @@ BITS = 64
 #: Salts of the fingerprints that a similarity search takes together.
 SALTS = (0x0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 #: Rows with one variant that are compared in one place; more are compared in pairs of blocks of half as many.
-RUN_ROWS = 4096
+RUN_ROWS = 1024
+#: Pairs that a task holds at once, about.
+HELD_PAIRS = 500_000
 #: Adds up to this many single-byte counters before one could overflow.
 BLOCK = 255
 
@@ -207,7 +209,16 @@ def _nearest_tree(count: int, u: np.ndarray, v: np.ndarray, cost: np.ndarray) ->
 def _compare_runs(distance: int, limit: int | None):
     """Rows (key, fp, node) sorted by key to links (u, v) within equal keys; rows of longer runs than the limit as they are (u node, v fp, key)."""
 
-    def links(key: np.ndarray, fp: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+    def links(key: np.ndarray, fp: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Some runs at a time, so that the pairs fit."""
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sizes = np.diff(np.append(starts, len(key)))
+        part = np.cumsum(sizes * sizes // 2) // HELD_PAIRS
+        cuts = [*starts[np.flatnonzero(np.diff(part, prepend=-1))].tolist(), len(key)]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            yield compared(key[i:j], fp[i:j], node[i:j])
+
+    def compared(key: np.ndarray, fp: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
         us, vs, costs = [], [], []
         at, step = np.arange(len(key)), 1
         while len(at := at[at + step < len(key)]):
@@ -257,10 +268,10 @@ def _compare_runs(distance: int, limit: int | None):
             # The last run may go on in the next batch, unless it was just sent off.
             stop = len(held[0]) if long is not None else int(starts[-1])
             if stop:
-                yield links(*(x[:stop] for x in held))
+                yield from links(*(x[:stop] for x in held))
                 held = [x[stop:] for x in held]
         if len(held[0]):
-            yield links(*held)
+            yield from links(*held)
 
     return run
 
