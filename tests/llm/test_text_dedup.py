@@ -218,3 +218,39 @@ def test_components_over_many_partitions(spark, monkeypatch):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     label = plain_components({x for e in edges for x in e}, edges)
     assert {r.node: r.component for r in found} == label and len(found) == len(label)
+
+
+def plain_shingles(text, size=5):
+    words = WORD.findall(ascii_lower(text).encode())
+    return {b" ".join(words[k : k + size]) for k in range(max(1, len(words) - size + 1))}
+
+
+def jaccard(a, b):
+    a, b = plain_shingles(a), plain_shingles(b)
+    return len(a & b) / len(a | b)
+
+
+def pseudo_words(rng, count):
+    return ["".join(rng.choice(["th", "er", "an", "on", "re", "ou", "es"]) for _ in range(rng.randint(2, 5))) for _ in range(count)]
+
+
+def plain_near_groups(rows, similarity=0.8):
+    sets = {i: plain_shingles(t) for i, t in rows}
+    close = lambda a, b: len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])
+    return plain_components(sets, [(a, b) for a in sets for b in sets if a < b and close(a, b)])
+
+
+def test_near_copies_by_passages(spark):
+    """A passage appended, cut off, put in or replaced is found as edits of single words are, and what is less similar is not."""
+    rng = random.Random(31)
+    rows = []
+    for k in range(60):
+        base = pseudo_words(rng, rng.randint(100, 900))
+        n = len(base)
+        at, some = rng.randrange(n // 4, n // 2), pseudo_words(rng, n // 5)
+        share = n // 13
+        edited = [base + some, base[: n - n // 6], base[:at] + some[: n // 6] + base[at:], base[:at] + some[:share] + base[at + share :], base + pseudo_words(rng, n // 2)]
+        rows += [(10 * k, " ".join(base)), (10 * k + 1, " ".join(edited[k % 5]))]
+    found = {r.doc_id: r.component_id for r in simhash_dedup.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    want = plain_near_groups(rows)
+    assert found == want and len(set(want.values())) < 80

@@ -20,10 +20,12 @@ HASH_SEED = 42
 BITS = 64
 #: Salts of the fingerprints that a similarity search takes together.
 SALTS = (0x0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
-#: Rows with one variant that are compared in one place; more are compared in pairs of blocks of half as many.
-RUN_ROWS = 1024
-#: Pairs that a task holds at once, about.
-HELD_PAIRS = 500_000
+#: Bands of MinHashes in a similarity search, hashes of one at most, and the share of pairs at the very similarity that may share none.
+BANDS, MOST_BAND_HASHES, MISSED = 56, 32, 1e-4
+#: Rows, and shingles, of one block of a crowd of candidates; larger crowds are compared in pairs of blocks.
+RUN_ROWS, RUN_SHINGLES = 512, 1_000_000
+#: Shingles of a matrix at a time.
+CHUNK_SHINGLES = 1024
 #: Adds up to this many single-byte counters before one could overflow.
 BLOCK = 255
 
@@ -151,9 +153,9 @@ def simhash_groups(
 
 
 def bits_for(similarity: float, words: int) -> int:
-    """The differing bits, of those of all salts together, up to which documents count as that similar.
+    """The differing bits, of those of all salts together, that edits of single words of documents of that similarity make.
 
-    The Jaccard similarity of shingles of so many words stands for a share of words that are the same in both, that for
+    No bound for other edits: a passage put in or taken out makes more, and no text is judged by it. The Jaccard similarity of shingles of so many words stands for a share of words that are the same in both, that for
     an angle, and that for a mean number of bits; two standard deviations are added.
     """
     same = (2 * similarity / (1 + similarity)) ** (1 / words)
@@ -162,22 +164,45 @@ def bits_for(similarity: float, words: int) -> int:
     return round(total * share + 2 * math.sqrt(total * share * (1 - share)))
 
 
-def word_fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(key_id, fps): for each row a fingerprint of its distinct lower-cased words under every salt."""
+def band_hashes(similarity: float) -> int:
+    """The MinHashes that a band joins: as many as leave documents of that similarity without an equal band in a share MISSED of cases at most."""
+    return max([r for r in range(1, MOST_BAND_HASHES + 1) if (1 - similarity**r) ** BANDS <= MISSED], default=1)
+
+
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, words))
+
+
+def band_keys(shingles: np.ndarray, hashes: int) -> np.ndarray:
+    """A key for every band: equal where all the least hashes of the band are."""
+    factors = np.random.default_rng(HASH_SEED).integers(0, 1 << 31, (BANDS * hashes, 1), np.uint32) * np.uint32(2) + np.uint32(1)
+    low, least = shingles.astype(np.uint32), np.full(BANDS * hashes, 2**32 - 1, np.uint32)
+    for k in range(0, len(low), CHUNK_SHINGLES):
+        np.minimum(least, (factors * low[k : k + CHUNK_SHINGLES]).min(1), out=least)
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, hashes).T:
+        keys = mix(keys ^ column.astype(np.uint64)) + np.uint64(SALTS[1])
+    return keys.view(np.int64)
+
+
+def shingle_bands(docs: DataFrame, words: int, hashes: int, id_col: str, text_col: str) -> DataFrame:
+    """(key_id, digest, size, bands): for each row a hash and the size of its set of shingles, and the set's bands; no bands for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            digests, sizes, bands = [], [], []
             for text in batch.column(1).cast(pa.binary()):
-                found = set((text.as_py() or b"").lower().split())
-                hashes = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
-                rows.append([fingerprint(mix(hashes ^ np.uint64(salt))) for salt in SALTS])
-            fps = np.array(rows, np.uint64).reshape(-1).view(np.int64)
-            lists = pa.ListArray.from_arrays(np.arange(0, len(fps) + 1, len(SALTS), dtype=np.int32), pa.array(fps))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["key_id", "fps"])
+                own = shingle_set(text.as_py() or b"", words)
+                digests.append(xxhash.xxh3_128_digest(own.tobytes()))
+                sizes.append(len(own))
+                bands.append(band_keys(own, hashes) if len(own) else np.empty(0, np.int64))
+            stops = np.cumsum([0, *map(len, bands)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(stops, pa.array(np.concatenate([np.empty(0, np.int64), *bands])))
+            columns = [batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["key_id", "digest", "size", "bands"])
 
     source = docs.select(id_key(id_col).alias("key_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, "key_id long, fps array<long>")
+    return source.mapInArrow(run, "key_id long, digest binary, size long, bands array<long>")
 
 
 def _nearest_tree(count: int, u: np.ndarray, v: np.ndarray, cost: np.ndarray) -> np.ndarray:
@@ -206,128 +231,97 @@ def _nearest_tree(count: int, u: np.ndarray, v: np.ndarray, cost: np.ndarray) ->
     return np.concatenate([np.empty(0, np.int64), *chosen])
 
 
-def _compare_runs(distance: int, limit: int | None):
-    """Rows (key, fp, node) sorted by key to links (u, v) within equal keys; rows of longer runs than the limit as they are (u node, v fp, key)."""
-
-    def links(key: np.ndarray, fp: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Some runs at a time, so that the pairs fit."""
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        sizes = np.diff(np.append(starts, len(key)))
-        part = np.cumsum(sizes * sizes // 2) // HELD_PAIRS
-        cuts = [*starts[np.flatnonzero(np.diff(part, prepend=-1))].tolist(), len(key)]
-        for i, j in zip(cuts, cuts[1:], strict=False):
-            yield compared(key[i:j], fp[i:j], node[i:j])
-
-    def compared(key: np.ndarray, fp: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
-        us, vs, costs = [], [], []
-        at, step = np.arange(len(key)), 1
-        while len(at := at[at + step < len(key)]):
-            at = at[key[at] == key[at + step]]
-            bits = np.bitwise_count(fp[at] ^ fp[at + step])
-            close = bits <= distance
-            us.append(at[close])
-            vs.append(at[close] + step)
-            costs.append(bits[close])
-            step += 1
-        u, v, cost = (np.concatenate([np.empty(0, np.int64), *x]) for x in (us, vs, costs))
-        kept = _nearest_tree(len(key), u, v, cost)
-        one, two = node[u[kept]], node[v[kept]]
-        return _links(np.minimum(one, two), np.maximum(one, two), None)
-
-    def _links(u: np.ndarray, v: np.ndarray, key: np.ndarray | None) -> pa.RecordBatch:
-        keys = pa.nulls(len(u), pa.int64()) if key is None else pa.array(key)
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), keys], names=["u", "v", "key"])
+def _shingles(words: int):
+    """(component, blocks, node, text) to (component, blocks, node, shingles): the sorted set of the whole text, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = [np.empty(0, np.int64)] * 3
-        long = None
         for batch in batches:
-            new = [batch.column(c).to_numpy() for c in ("key", "fp", "node")]
-            if long is not None:
-                stop = int(np.searchsorted(new[0], long, side="right"))
-                if stop:
-                    yield _links(new[2][:stop], new[1][:stop], new[0][:stop])
-                    new = [x[stop:] for x in new]
-                if not len(new[0]):
-                    continue
-                long = None
-            held = [np.concatenate([a, b]) for a, b in zip(held, new, strict=True)]
-            if not len(held[0]):
-                continue
-            starts = np.flatnonzero(np.concatenate([[True], held[0][1:] != held[0][:-1]]))
-            if limit is not None:
-                sizes = np.diff(np.append(starts, len(held[0])))
-                if (over := sizes > limit).any():
-                    gone = np.repeat(over, sizes)
-                    yield _links(held[2][gone], held[1][gone], held[0][gone])
-                    long = int(held[0][-1]) if over[-1] else None
-                    held = [x[~gone] for x in held]
-                    if not len(held[0]):
-                        continue
-                    starts = np.flatnonzero(np.concatenate([[True], held[0][1:] != held[0][:-1]]))
-            # The last run may go on in the next batch, unless it was just sent off.
-            stop = len(held[0]) if long is not None else int(starts[-1])
-            if stop:
-                yield from links(*(x[:stop] for x in held))
-                held = [x[stop:] for x in held]
-        if len(held[0]):
-            yield from links(*held)
+            for k in range(0, len(batch), 200):
+                part = batch.slice(k, 200)
+                sets = [shingle_set(t.as_py() or b"", words).tobytes() for t in part.column(3).cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(sets, pa.binary())], names=["component", "blocks", "node", "shingles"])
 
     return run
 
 
-def _sorted_links(keyed: DataFrame, distance: int, limit: int | None) -> DataFrame:
-    width = shuffle_width(keyed.sparkSession)
-    dealt = keyed.select("key", "fp", "node").repartition(width, "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(_compare_runs(distance, limit), "u long, v long, key long")
+def _similar_pairs(similarity: float):
+    """A pair of blocks to links (u, v): a spanning forest of the pairs, one from each block, that share enough of their shingles."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        i, j = (table.column(c)[0].as_py() for c in "ij")
+        node, side = table.column("node").to_numpy(), table.column("side").to_numpy()
+        sets = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
+        sizes = np.array([len(s) for s in sets])
+        left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
+        _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = np.cumsum(times > 1) - 1
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        kept = times[column] > 1
+        column, owner = shared[column[kept]], owner[kept]
+        order = np.argsort(column, kind="stable")
+        column, owner = column[order], owner[order]
+        common = np.zeros((len(left), len(right)))
+        for first in range(0, int(column[-1]) + 1 if len(column) else 0, CHUNK_SHINGLES):
+            at = slice(*np.searchsorted(column, [first, first + CHUNK_SHINGLES]))
+            holds = np.zeros((len(sets), CHUNK_SHINGLES), np.float32)
+            holds[owner[at], column[at] - first] = 1
+            common += holds[left] @ holds[right].T
+        either = sizes[left][:, None] + sizes[right][None, :] - common
+        p, q = np.nonzero(common >= similarity * either - 1e-9)
+        u, v = left[p], right[q]
+        share = common[p, q] / either[p, q]
+        if i == j:
+            u, v, share = (x[p < q] for x in (u, v, share))
+        tree = _nearest_tree(len(sets), u, v, -share)
+        return pa.table({"u": node[u[tree]], "v": node[v[tree]]})
+
+    return run
 
 
-def _candidate_links(nodes: DataFrame, distance: int, scratch: Scratch) -> DataFrame:
-    """(u, v) of nodes that agree in a one-wildcard variant of some segment under some salt and are within the distance there.
+def _similar_links(docs: DataFrame, nodes: DataFrame, similarity: float, words: int, scratch: Scratch) -> DataFrame:
+    """(u, v) of nodes whose sets of shingles are that similar, a spanning forest at least of all that share a band.
 
-    Of the pairs of one variant a least spanning forest is kept. Long runs of one variant are split into blocks, and every
-    pair of blocks is compared, so that no run is too long for a task and none is cut.
+    Nodes that share a band, directly or through others, are one crowd, and all the pairs of a crowd are compared on the shingles
+    of their whole texts. Crowds too large for a task are split into blocks, and every pair of blocks is compared, so none is cut.
     """
-    segments = _segments(distance)
-    every = F.explode(F.sequence(F.lit(0), F.lit(BITS * len(SALTS) - 1))).alias("slot")
-    slots = nodes.select(F.col("least").alias("node"), "fps", every)
-    bit, salt = F.col("slot").bitwiseAND(F.lit(BITS - 1)), F.shiftright("slot", 6)
-    parts = slots.select("node", bit.alias("bit"), salt.alias("salt"), F.get("fps", salt).alias("fp"))
-    variant = _variant_key(F.col("fp"), F.col("bit"), segments).bitwiseOR(F.shiftleft(F.col("salt").cast("long"), 56))
-    found = scratch.table(_sorted_links(parts.select("node", "fp", variant.alias("key")), distance, RUN_ROWS))
-    edges = found.where("key is null").select("u", "v")
-    rest = found.where("key is not null").select(F.col("u").alias("node"), F.col("v").alias("fp"), "key")
-    counts = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) * 2 / RUN_ROWS).cast("int").alias("blocks")).withColumnRenamed("key", "own")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    pairs = rest.join(counts, F.col("key") == F.col("own")).withColumn("mine", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    block_key = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))
-    return edges.union(_sorted_links(pairs.select(block_key.alias("key"), "fp", "node"), distance, None).select("u", "v")).distinct()
-
-
-def near_duplicate_groups(
-    docs: DataFrame, similarity: float = 0.8, words: int = 5, distance: int = 4, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
+    keyed = nodes.select(F.col("least").alias("node"), F.explode("bands").alias("key"))
+    leasts = keyed.groupBy("key").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("own"), "v")
+    stars = keyed.join(leasts, F.col("key") == F.col("own")).where("node != v").select(F.col("node").alias("u"), "v").distinct()
+    crowds = scratch.table(connected_components(stars, scratch))
+    sized = crowds.join(nodes.select("least", "size"), F.col("node") == F.col("least"))
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / RUN_ROWS, F.sum("size") / RUN_SHINGLES)).cast("int")
+    members = scratch.table(
+        crowds.join(sized.groupBy("component").agg(blocks.alias("blocks")).withColumnRenamed("component", "crowd"), F.col("component") == F.col("crowd"))
+        .select("component", "blocks", "node")
+    )
+    texts = docs.join(members, F.col("key_id") == F.col("node")).select("component", "blocks", "node", "text")
+    sets = texts.mapInArrow(_shingles(words), "component long, blocks int, node long, shingles binary")
+    dealt = sets.withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    paired = dealt.select("component", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node", "shingles")
+    return paired.groupBy("component", "i", "j").applyInArrow(_similar_pairs(similarity), "u long, v long")
+
+
+def near_duplicate_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, component_id, kept; for documents that are as similar in shingles of ``words`` words.
 
-    A fingerprint of shingles loses a bit in seven at that similarity, too many for an index, so the fingerprints are of
-    distinct words, four with different salts, and candidates are within ``distance`` bits under one of them. A candidate is
-    a link if all four together differ in at most bits_for(similarity, words) bits. Unrelated documents differ in a quarter
-    of the bits and more.
+    Two documents link if the Jaccard similarity of their sets of shingles (lower-cased in ASCII, hashed to 64 bits, of the whole
+    texts) is at least ``similarity``; every link is decided so. A fingerprint of shingles loses a bit in seven at a
+    similarity of 0.8, too many for an index, so candidates are those that agree in a band of MinHashes: two documents of just
+    that similarity share none in a share MISSED of cases at most, and others of their group may still bring them together.
 
     Rows of one id are one document. A null or blank text has no words: such documents are one group. A null id counts as
-    smallest and its group's component_id is null. Copies are one node. Other columns are not read; an empty table gives
-    an empty result.
+    smallest and its group's component_id is null. Documents of equal sets are one node. Other columns are not read; an empty
+    table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession)
-    marked = scratch.table(word_fingerprints(docs, id_col, text_col))
-    nodes = scratch.table(marked.groupBy("fps").agg(F.min("key_id").alias("least")))
-    links = _candidate_links(nodes, distance, scratch)
-    one, two = (nodes.select(F.col("least").alias(f"_{c}"), F.col("fps").alias(f"fps_{c}")) for c in "uv")
-    differing = sum((F.bit_count(F.get("fps_u", F.lit(k)).bitwiseXOR(F.get("fps_v", F.lit(k)))) for k in range(len(SALTS))), F.lit(0))
-    checked = links.join(one, F.col("u") == F.col("_u")).join(two, F.col("v") == F.col("_v")).where(differing <= bits_for(similarity, words))
-    groups = connected_components(checked.select("u", "v"), scratch)
-    named = nodes.join(groups, F.col("least") == F.col("node"), "left").select(F.col("fps").alias("own"), F.coalesce("component", "least").alias("component"))
-    out = marked.join(named, F.col("fps") == F.col("own"), "left")
+    marked = scratch.table(shingle_bands(docs, words, band_hashes(similarity), id_col, text_col))
+    nodes = scratch.table(marked.groupBy("digest").agg(F.min("key_id").alias("least"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+    source = docs.select(id_key(id_col).alias("key_id"), F.col(text_col).cast("string").alias("text"))
+    links = scratch.table(_similar_links(source, nodes, similarity, words, scratch))
+    groups = connected_components(links, scratch)
+    named = nodes.join(groups, F.col("least") == F.col("node"), "left").select(F.col("digest").alias("own"), F.coalesce("component", "least").alias("component"))
+    out = marked.select("key_id", "digest").join(named, F.col("digest") == F.col("own"), "left")
     return out.select(
         F.nullif("key_id", F.lit(NULL_ID)).alias("doc_id"),
         F.nullif("component", F.lit(NULL_ID)).alias("component_id"),
