@@ -254,3 +254,17 @@ def test_near_copies_by_passages(spark):
     found = {r.doc_id: r.component_id for r in simhash_dedup.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     want = plain_near_groups(rows)
     assert found == want and len(set(want.values())) < 80
+
+
+def test_near_copies_are_not_texts_of_the_same_words(spark):
+    """Order counts: shuffles of a text, and long texts of one small vocabulary, stay apart."""
+    rng = random.Random(32)
+    rows = []
+    for k in range(8):
+        base = pseudo_words(rng, 400)
+        rows += [(10 * k, " ".join(base)), (10 * k + 1, " ".join(rng.sample(base, len(base))))]
+    vocabulary = pseudo_words(rng, 3000)
+    zipf = [1 / (k + 1) for k in range(3000)]
+    rows += [(1000 + k, " ".join(rng.choices(vocabulary, zipf, k=60_000))) for k in range(4)]
+    found = simhash_dedup.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert all(r.kept and r.component_id == r.doc_id for r in found) and len(found) == len(rows)
