@@ -268,3 +268,19 @@ def test_near_copies_are_not_texts_of_the_same_words(spark):
     rows += [(1000 + k, " ".join(rng.choices(vocabulary, zipf, k=60_000))) for k in range(4)]
     found = simhash_dedup.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert all(r.kept and r.component_id == r.doc_id for r in found) and len(found) == len(rows)
+
+
+@pytest.mark.parametrize("limit", [512, 16])
+def test_near_copies_in_a_crowd(spark, monkeypatch, limit):
+    """A crowd of copies, many of them too far from each other, gives the groups of all pairs, however it is split."""
+    monkeypatch.setattr(simhash_dedup, "RUN_ROWS", limit)
+    rng = random.Random(33)
+    base, rows = pseudo_words(rng, 120), []
+    for k in range(250):
+        words = list(base)
+        for at in rng.sample(range(120), rng.randint(2, 8)):
+            words[at] = rng.choice(base)
+        rows.append((k, " ".join(words)))
+    found = {r.doc_id: r.component_id for r in simhash_dedup.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    want = plain_near_groups(rows)
+    assert found == want and 1 < len(set(want.values())) < 250
