@@ -159,3 +159,26 @@ def test_templates(spark):
     assert found[0].text == " ".join("Story number 0 ".split() * 20) + "\n\nMore 0" or "Printed" in found[0].text
     assert found[101].text == "" and found[102].n_chars == 0 and found[103].text == "Other form"
     assert html_extract.extract_main_text(pages.where("false")).count() == 0
+
+
+def test_templates_with_odd_pages(spark):
+    """Empty, cut off and error pages, and a second layout, leave the host its template; text twice on a page is template too."""
+    page = '<html><body><div class="top"><p>Our site</p></div><div class="box"><p>Printed here</p><p>%s</p></div><div class="low"><p>Our site</p><p>Twice</p><p>Twice</p></div></body></html>'
+    other = '<html><body><div class="wide"><p>Gallery of ours</p><p>%s</p></div></body></html>'
+    rows = [(k, f"http://h.org/{k}", page % (f"Story number {k} " * 20)) for k in range(30)]
+    rows += [(100 + k, f"http://h.org/g{k}", other % (f"Picture number {k} " * 20)) for k in range(12)]
+    rows += [(200, "http://h.org/null", None), (201, "http://h.org/empty", ""), (202, "http://h.org/error", "<h1>Error 500</h1>"), (203, "http://h.org/cut", page[:60])]
+    found = {r.page_id: r.text for r in html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(found[k] == " ".join(f"Story number {k} ".split() * 20) for k in range(30))
+    assert all(found[100 + k] == " ".join(f"Picture number {k} ".split() * 20) for k in range(12))
+    assert found[200] == found[201] == "" and found[202] == "Error 500"
+
+
+def test_classes_out_of_order_are_no_template():
+    """A class counts on a page only in its own order and nested with the classes before it."""
+    page = html_extract.Page("<div><p>a</p><p>b</p><p>c</p><p>d</p></div>")
+    token = {t: html_extract.text_token("/div", t) for t in "abcd"}
+    made = lambda names: [{"token": token[t], "text": True} for t in names]
+    assert html_extract.template_tokens(page, [made("ab")]) == {token["a"], token["b"]} and not html_extract.template_tokens(page, [made("ba")])
+    assert html_extract.template_tokens(page, [made("ac"), made("bd")]) == {token["a"], token["c"]}
+    assert html_extract.template_tokens(page, [made("ad"), made("bc")]) == set(token.values())

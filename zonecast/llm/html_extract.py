@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from bisect import bisect
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from zonecast.llm.shared import Scratch
 from zonecast.llm.url_filter import split_url
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<", re.S)
@@ -35,8 +37,8 @@ NAME = re.compile(r"[a-z]+")
 MAIN_TAGS = ("article", "main")
 #: Containers that a path names; what is nested deeper counts to the last of them.
 PATH_DEPTH = 60
-#: Pages of a host, at least, for text that all of them hold to count as template.
-TEMPLATE_PAGES = 10
+#: Pages of a host, at least, that hold a class for its text to count as template, and the share of pages that counts as nearly all.
+TEMPLATE_PAGES, NEARLY_ALL = 10, 0.9
 
 
 def _dropped(tag: str, names: str) -> bool:
@@ -51,6 +53,8 @@ class Page:
         self.blocks: list[tuple[str, str, bool]] = []
         #: Times each container path is opened.
         self.opened: dict[str, int] = {}
+        #: Place of the first occurrence of every token.
+        self.places: dict[int, int] = {}
         self._parse(source)
 
     def _parse(self, source: str) -> None:
@@ -63,6 +67,7 @@ class Page:
             parts.clear()
             if text:
                 self.blocks.append((stack[-1][1], text, stack[-1][2] or block_gone))
+                self.places.setdefault(text_token(stack[-1][1], text), len(self.places))
 
         at, size, last = 0, len(source), source.rfind(">")
         while at < size:
@@ -107,6 +112,7 @@ class Page:
             gone = stack[-1][2] or _dropped(tag, values) or (tag == "header" and not inside)
             stack.append((tag, path, gone))
             self.opened[path] = self.opened.get(path, 0) + 1
+            self.places.setdefault(path_token(path), len(self.places))
         close_block()
 
 
@@ -114,78 +120,112 @@ def _within(path: str, top: str) -> bool:
     return path == top or path.startswith(top + "/")
 
 
+def path_token(path: str) -> int:
+    return xxhash.xxh64_intdigest(path.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
 def text_token(path: str, text: str) -> int:
     return xxhash.xxh64_intdigest(f"{path}\n{text}".encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+TOKEN_SCHEMA = "host long, page long, token long, path string, count long, place long, chars long, whole long"
+
+
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, page, html) to a row for each distinct token of the page: containers by path, text blocks by path and text."""
+    """(host, page, html) to a row for each distinct token of the page: containers by path, text blocks by path and text.
+
+    chars is the text inside a container, and whole that of its page. Token 0 is the page itself; its whole says if it holds anything.
+    """
     for batch in batches:
-        hosts, pages, tokens, paths, counts, chars = [], [], [], [], [], []
+        rows: list[tuple] = []
         for host, key, source in zip(*(batch.column(c) for c in ("host", "page", "html")), strict=True):
             page = Page(source.as_py() or "")
-            rows: dict[int, list] = {xxhash.xxh64_intdigest(p.encode("utf-8", "surrogatepass")) - (1 << 63): [p, n, 0] for p, n in page.opened.items()}
+            counts: dict[int, int] = {}
             inside: dict[str, int] = {}
             for path, text, gone in page.blocks:
-                own = rows.setdefault(text_token(path, text), [None, 0, len(text)])
-                own[1] += 1
+                own = text_token(path, text)
+                counts[own] = counts.get(own, 0) + 1
                 if not gone:
                     inside[path] = inside.get(path, 0) + len(text)
-            for row in rows.values():
-                if row[0] is not None:
-                    row[2] = sum(n for path, n in inside.items() if _within(path, row[0]))
-            # The page itself: the class that every page's single tokens share.
-            rows[0] = ["", 1, sum(inside.values())]
-            hosts += [host.as_py()] * len(rows)
-            pages += [key.as_py()] * len(rows)
-            tokens += rows
-            for path, count, size in rows.values():
-                paths.append(path)
-                counts.append(count)
-                chars.append(size)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(hosts, pa.int64()), pa.array(pages, pa.int64()), pa.array(tokens, pa.int64()), pa.array(paths, pa.string()), pa.array(counts, pa.int64()), pa.array(chars, pa.int64())],
-            names=["host", "page", "token", "path", "count", "chars"],
-        )
+            whole, ends = sum(inside.values()), (host.as_py(), key.as_py())
+            rows.append((*ends, 0, "", 1, 0, whole, int(bool(page.places))))
+            rows += [(*ends, token, None, count, page.places[token], 0, 0) for token, count in counts.items()]
+            for path, count in page.opened.items():
+                token = path_token(path)
+                rows.append((*ends, token, path, count, page.places[token], sum(n for p, n in inside.items() if _within(p, path)), whole))
+        columns = list(zip(*rows, strict=True)) or [()] * 8
+        arrays = [pa.array(c, pa.string() if k == 3 else pa.int64()) for k, c in enumerate(columns)]
+        yield pa.RecordBatch.from_arrays(arrays, names=["host", "page", "token", "path", "count", "place", "chars", "whole"])
 
 
 def host_templates(tokens: DataFrame) -> DataFrame:
-    """(host, main, boilerplate): the container path of the main slot and the hashes of template text, one row per host.
+    """(host, mains, classes): the container paths that may be the main slot, best first, and the classes of template tokens, one row per host.
 
     A token's occurrence vector is its count on every page of the host, kept as a sum of hashes of (page, count),
-    so that equal vectors have equal sums and partial sums merge on the map side. The class of the tokens
-    that occur once on every page is valid: its paths nest. Of its containers, an article or main element, else one with
-    half of the host's text, else the page, is the main slot; the deepest wins.
+    so that equal vectors have equal sums and partial sums merge on the map side. Tokens of one vector are a class. Its text is
+    template if enough pages hold it and it is a layout, that is, holds a container too, or is on nearly all pages that
+    are not empty. So pages that lack a class, empty, cut off or of another layout, leave the host its other classes; order and
+    nesting of a class are judged on each page, see template_tokens. A main slot is a container that is opened once on each
+    of its pages: an article or main element, else one with half of its pages' text. Slots of nearly all pages come
+    first, then those of a layout, then the page's own elements; the deepest wins.
     """
     vector = F.sum(F.xxhash64("page", "count").cast("decimal(20,0)"))
-    seen = tokens.groupBy("host", "token").agg(F.max("path").alias("path"), F.count(F.lit(1)).alias("pages"), F.sum("chars").alias("chars"), vector.alias("vector"))
-    whole = F.max(F.when(F.col("token") == 0, F.struct("vector", "pages", "chars")))
+    sums = [F.sum(c).alias(c) for c in ("count", "place", "chars", "whole")]
+    seen = tokens.groupBy("host", "token").agg(F.max("path").alias("path"), F.count(F.lit(1)).alias("pages"), *sums, vector.alias("vector"))
     tag = F.regexp_extract("path", r"/([a-z0-9:-]+)(?:\[[^\]]*\])?$", 1)
-    rank = F.struct(
-        tag.isin(*MAIN_TAGS).alias("named"),
-        (F.size(F.split("path", "/"))).alias("depth"),
-        F.col("chars").alias("held"),
-        F.col("path").alias("own"),
-    )
-    per_host = seen.groupBy("host").agg(whole.alias("whole"))
+    per_host = seen.where("token = 0").select(F.col("host").alias("own_host"), F.col("whole").alias("filled"))
     # Text of fewer pages is never template, and is nearly all there is: it stays out of the join by host.
-    able = seen.where(F.col("path").isNotNull() | (F.col("pages") >= TEMPLATE_PAGES))
-    classed = able.join(per_host, "host").where("vector = whole.vector")
-    fits = F.col("path").isNotNull() & (tag.isin(*MAIN_TAGS) | (F.col("chars") * 2 >= F.col("whole.chars")))
-    text = F.col("path").isNull() & (F.col("pages") >= TEMPLATE_PAGES)
-    return classed.groupBy("host").agg(
-        F.max(F.when(fits, rank)).getField("own").alias("main"), F.collect_list(F.when(text, F.col("token"))).alias("boilerplate")
+    able = seen.where((F.col("token") != 0) & (F.col("path").isNotNull() | (F.col("pages") >= TEMPLATE_PAGES)))
+    known = able.join(per_host, F.col("host") == F.col("own_host"))
+    most = F.col("pages") >= NEARLY_ALL * F.col("filled")
+    holds = tag.isin(*MAIN_TAGS) | ((F.col("chars") > 0) & (F.col("chars") * 2 >= F.col("whole")))
+    fits = F.col("path").isNotNull() & (F.col("count") == F.col("pages")) & holds & (most | (F.col("pages") >= TEMPLATE_PAGES))
+    tier = F.when(tag.isin("html", "body"), 0).when(most, 2).otherwise(1)
+    rank = F.struct(tier.alias("tier"), tag.isin(*MAIN_TAGS).alias("named"), F.size(F.split("path", "/")).alias("depth"), F.col("chars").alias("held"), F.col("path").alias("own"))
+    member = F.struct((F.col("place") / F.col("pages")).alias("place"), F.col("token").alias("token"), F.col("path").isNull().alias("text"))
+    classes = known.groupBy("host", "vector").agg(
+        F.max("pages").alias("pages"),
+        F.max("filled").alias("filled"),
+        F.collect_list(F.when(fits, rank)).alias("slots"),
+        F.collect_list(F.when((F.col("pages") >= TEMPLATE_PAGES), member)).alias("members"),
+    )
+    texts, layout = F.exists("members", lambda m: m.text), F.exists("members", lambda m: ~m.text)
+    template = F.when(texts & (layout | most), F.struct("pages", F.array_sort("members").alias("members")))
+    per = classes.groupBy("host").agg(F.flatten(F.collect_list("slots")).alias("slots"), F.collect_list(template).alias("found"))
+    return per.select(
+        "host",
+        F.transform(F.sort_array("slots", asc=False), lambda r: r.own).alias("mains"),
+        F.transform(F.sort_array("found", asc=False), lambda c: F.transform(c.members, lambda m: F.struct(m.token.alias("token"), m.text.alias("text")))).alias("classes"),
     )
 
 
-def main_text(source: str, main: str | None, boilerplate: set[int]) -> str:
+def _crossing(one: list[int], two: list[int]) -> bool:
+    """Whether neither list of places lies whole in one gap of the other."""
+    return len({bisect(one, x) for x in two}) > 1 and len({bisect(two, x) for x in one}) > 1
+
+
+def template_tokens(page: Page, classes: Iterable[list[dict]]) -> set[int]:
+    """The text tokens of the classes that are whole on the page, in their own order, and nested with the classes before them."""
+    taken: list[list[int]] = []
+    found: set[int] = set()
+    for members in classes:
+        places = [page.places.get(m["token"], -1) for m in members]
+        if places[0] < 0 or any(a >= b for a, b in zip(places, places[1:], strict=False)) or any(_crossing(places, other) for other in taken):
+            continue
+        taken.append(places)
+        found.update(m["token"] for m in members if m["text"])
+    return found
+
+
+def main_text(source: str, mains: Iterable[str] | None, classes: Iterable[list[dict]]) -> str:
     """The blocks of the main slot, without template text; of any article, or of the page, if the page has no such slot."""
     page = Page(source)
-    slot = main or ""
-    if slot not in page.opened:
+    slot = next((path for path in mains or () if path in page.opened), None)
+    if slot is None or slot.rpartition("/")[2].startswith(("html", "body")):
         found = [p for p in page.opened if re.match(r"(article|main)\b", p.rpartition("/")[2])]
-        slot = min(found, key=len) if found else ""
+        slot = min(found, key=len) if found else slot or ""
     own = [(path, text) for path, text, gone in page.blocks if not gone and _within(path, slot)]
+    boilerplate = template_tokens(page, classes)
     kept = [text for path, text in own if text_token(path, text) not in boilerplate] if boilerplate else []
     return "\n\n".join(kept or [text for _, text in own])
 
@@ -194,8 +234,8 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     """One row per input row: page_id, url, text, n_chars.
 
     Templates are deduced per host (the url's host; pages without one share the empty host) from all its pages; see
-    host_templates. Text that every page of a host with at least ten pages holds at one place is template, unless a page
-    would lose all its text. Menus, page headers, footers, asides, forms, raw elements and elements named as adverts,
+    host_templates. Text that all pages of a layout, or nearly all of the host, ten at least, hold at one place is template,
+    unless a page would lose all its text. Menus, page headers, footers, asides, forms, raw elements and elements named as adverts,
     notices, comments or the like are left out of the main slot. Blocks have their white space folded and are joined
     by two newlines. A null or empty html gives an empty text. Repeated rows repeat and count as one page in the vectors if
     equal; null ids pass through; other columns are not read; an empty table gives an empty result.
@@ -205,14 +245,15 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
         F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), host.alias("host")
     )
     keyed = source.select("host", F.xxhash64("page_id", "url", "html").alias("page"), "html")
-    templates = host_templates(keyed.mapInArrow(_tokens, "host long, page long, token long, path string, count long, chars long"))
-    joined = source.join(templates, "host", "left").select("page_id", "url", "html", "main", "boilerplate")
+    # A table of its own, so that the join sees how small it is and no host's pages are read in one task.
+    templates = Scratch(pages.sparkSession).table(host_templates(keyed.mapInArrow(_tokens, TOKEN_SCHEMA)))
+    joined = source.join(templates, "host", "left").select("page_id", "url", "html", "mains", "classes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [
-                main_text(source.as_py() or "", main.as_py(), set(gone.as_py() or ()))
-                for source, main, gone in zip(*(batch.column(c) for c in ("html", "main", "boilerplate")), strict=True)
+                main_text(source.as_py() or "", mains.as_py(), classes.as_py() or ())
+                for source, mains, classes in zip(*(batch.column(c) for c in ("html", "mains", "classes")), strict=True)
             ]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
