@@ -182,3 +182,18 @@ def test_classes_out_of_order_are_no_template():
     assert html_extract.template_tokens(page, [made("ab")]) == {token["a"], token["b"]} and not html_extract.template_tokens(page, [made("ba")])
     assert html_extract.template_tokens(page, [made("ac"), made("bd")]) == {token["a"], token["c"]}
     assert html_extract.template_tokens(page, [made("ad"), made("bc")]) == set(token.values())
+
+
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ('<body class="right-sidebar"><p>Story</p><div class="right-sidebar"><p>Links</p></div></body>', "Story"),
+        ('<article class="post comments-open"><p>Story</p><div class="comments"><p>Nice</p></div></article>', "Story"),
+        ('<main id="share"><p>Story</p></main>', "Story"),
+        ('<div class="content with-sidebar"><p>Story</p></div><div class="sidebar"><p>Links</p></div>', "Story"),
+        ('<div class="comments"><article><p>Story</p><p class="ad">Buy</p></article></div>', "Story"),
+        ('<div class="banner"><p>All there is</p></div><nav>Home</nav>', "All there is"),
+    ],
+)
+def test_names_do_not_take_the_article(source, want):
+    assert html_extract.main_text(source, None, set()) == want

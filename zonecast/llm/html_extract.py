@@ -28,29 +28,37 @@ CONTAINERS = frozenset("html body main article section div nav header footer asi
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre hr address caption figcaption thead tfoot summary legend option title".split())
 #: Elements that are no part of an article.
 DROPPED_TAGS = frozenset("nav footer aside form menu dialog button select fieldset".split())
-#: Words in class, id or role that mark an element as no part of the article.
+#: Names in class, id or role that mark an element as no part of the article.
 DROPPED_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsored promo promotion banner cookie cookies consent notice notices alert popup modal newsletter subscribe "
     "sidebar side nav navigation navbar menu breadcrumb breadcrumbs pagination footer comment comments reply replies respond share sharing social related recommended".split()
 )
+#: Words that such a name may have beside it and still be the element's own name.
+PLACES = frozenset("left right top bottom box block section list area widget bar site page".split())
 NAME = re.compile(r"[a-z]+")
 MAIN_TAGS = ("article", "main")
+#: Elements whose names say nothing against them.
+NEVER_NAMED = frozenset(("html", "body", *MAIN_TAGS))
 #: Containers that a path names; what is nested deeper counts to the last of them.
 PATH_DEPTH = 60
 #: Pages of a host, at least, that hold a class for its text to count as template, and the share of pages that counts as nearly all.
 TEMPLATE_PAGES, NEARLY_ALL = 10, 0.9
 
 
-def _dropped(tag: str, names: str) -> bool:
-    return tag in DROPPED_TAGS or any(w in DROPPED_NAMES for w in NAME.findall(names.lower()))
+def _named_off(tag: str, names: str) -> bool:
+    """Whether some whole name in class, id or role is one of the listed, alone or with others of them or with places."""
+    if tag in NEVER_NAMED:
+        return False
+    parts = [set(NAME.findall(name)) for name in names.lower().split()]
+    return any(own & DROPPED_NAMES and own <= DROPPED_NAMES | PLACES for own in parts)
 
 
 class Page:
     """A page as text blocks, each under the path of its open containers."""
 
     def __init__(self, source: str):
-        #: (path, text, in a dropped element) of every block in page order.
-        self.blocks: list[tuple[str, str, bool]] = []
+        #: (path, text, in an element dropped by its tag, path of the innermost element dropped by its names) of every block in page order.
+        self.blocks: list[tuple[str, str, bool, str | None]] = []
         #: Times each container path is opened.
         self.opened: dict[str, int] = {}
         #: Place of the first occurrence of every token.
@@ -58,15 +66,16 @@ class Page:
         self._parse(source)
 
     def _parse(self, source: str) -> None:
-        stack: list[tuple[str, str, bool]] = [("", "", False)]
+        stack: list[tuple[str, str, bool, str | None]] = [("", "", False, None)]
         parts: list[str] = []
-        block_gone = False
+        block_off = False
 
         def close_block() -> None:
             text = " ".join("".join(parts).split())
             parts.clear()
             if text:
-                self.blocks.append((stack[-1][1], text, stack[-1][2] or block_gone))
+                _, path, gone, off = stack[-1]
+                self.blocks.append((path, text, gone, f"{path}/*" if block_off else off))
                 self.places.setdefault(text_token(stack[-1][1], text), len(self.places))
 
         at, size, last = 0, len(source), source.rfind(">")
@@ -93,10 +102,10 @@ class Page:
             if tag not in BLOCKS:
                 continue
             close_block()
-            block_gone = False
+            block_off = False
             if tag not in CONTAINERS:
                 if not ends and found.group(3):
-                    block_gone = _dropped(tag, " ".join(m[1] or m[2] or m[3] for m in NAMED.findall(found.group(3))))
+                    block_off = _named_off(tag, " ".join(m[1] or m[2] or m[3] for m in NAMED.findall(found.group(3))))
                 continue
             if ends:
                 depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), None)
@@ -109,8 +118,8 @@ class Page:
             if len(stack) <= PATH_DEPTH:
                 path += f"/{tag}" + (f"[{names}]" if names else "")
             inside = any(frame[0] in MAIN_TAGS for frame in stack)
-            gone = stack[-1][2] or _dropped(tag, values) or (tag == "header" and not inside)
-            stack.append((tag, path, gone))
+            gone = stack[-1][2] or tag in DROPPED_TAGS or (tag == "header" and not inside)
+            stack.append((tag, path, gone, path if _named_off(tag, values) else stack[-1][3]))
             self.opened[path] = self.opened.get(path, 0) + 1
             self.places.setdefault(path_token(path), len(self.places))
         close_block()
@@ -142,10 +151,10 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             page = Page(source.as_py() or "")
             counts: dict[int, int] = {}
             inside: dict[str, int] = {}
-            for path, text, gone in page.blocks:
+            for path, text, gone, off in page.blocks:
                 own = text_token(path, text)
                 counts[own] = counts.get(own, 0) + 1
-                if not gone:
+                if not gone and off is None:
                     inside[path] = inside.get(path, 0) + len(text)
             whole, ends = sum(inside.values()), (host.as_py(), key.as_py())
             rows.append((*ends, 0, "", 1, 0, whole, int(bool(page.places))))
@@ -218,13 +227,17 @@ def template_tokens(page: Page, classes: Iterable[list[dict]]) -> set[int]:
 
 
 def main_text(source: str, mains: Iterable[str] | None, classes: Iterable[list[dict]]) -> str:
-    """The blocks of the main slot, without template text; of any article, or of the page, if the page has no such slot."""
+    """The blocks of the main slot, without template text; of any article, or of the page, if the page has no such slot.
+
+    Elements dropped by their names are left out, but for the slot itself and what it is in, and unless nothing else is left.
+    """
     page = Page(source)
     slot = next((path for path in mains or () if path in page.opened), None)
     if slot is None or slot.rpartition("/")[2].startswith(("html", "body")):
         found = [p for p in page.opened if re.match(r"(article|main)\b", p.rpartition("/")[2])]
         slot = min(found, key=len) if found else slot or ""
-    own = [(path, text) for path, text, gone in page.blocks if not gone and _within(path, slot)]
+    held = [block for block in page.blocks if not block[2] and _within(block[0], slot)]
+    own = [(path, text) for path, text, _, off in held if off is None or off == slot or not _within(off, slot)] or [block[:2] for block in held]
     boilerplate = template_tokens(page, classes)
     kept = [text for path, text in own if text_token(path, text) not in boilerplate] if boilerplate else []
     return "\n\n".join(kept or [text for _, text in own])
