@@ -197,3 +197,21 @@ def test_classes_out_of_order_are_no_template():
 )
 def test_names_do_not_take_the_article(source, want):
     assert html_extract.main_text(source, None, set()) == want
+
+
+def test_ibans_that_hold_a_card():
+    text = "pay GB39WEST36075983867565 now"
+    spans = pii.find_spans(text)
+    assert [(pii.KINDS[s.rank], text[s.start : s.end]) for s in spans] == [("iban", "GB39WEST36075983867565"), ("card", "36075983867565")]
+    assert pii.redact(text, spans) == "pay <iban> now"
+
+
+def test_long_secrets_are_whole():
+    for value in ("a1" * 300, "a" * 250 + "1"):
+        text = f"token={value} end"
+        assert pii.redact(text, pii.find_spans(text)) == "token=<secret> end"
+
+
+def test_spans_that_cross_leave_nothing_in_clear():
+    spans = [pii.Span(0, 2, 5, 1.0), pii.Span(3, 4, 8, 1.0)]
+    assert pii.redact("abcdefghij", spans) == "<card>ij"

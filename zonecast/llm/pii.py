@@ -22,7 +22,7 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 LOCAL_PHONE = re.compile(r"(?<![0-9+(.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])")
-SECRET = re.compile(r"""(?i)\b(?:token|secret|password|passwd|api[_-]?key)["']?\s{0,3}[:=]\s{0,3}["']?([A-Za-z0-9_+/=-]{8,200})""")
+SECRET = re.compile(r"""(?i)\b(?:token|secret|password|passwd|api[_-]?key)["']?\s{0,3}[:=]\s{0,3}["']?([A-Za-z0-9_+/=-]{8,}+)""")
 DIGITS = re.compile(r"[0-9]")
 
 #: Score of a proposal, by kind, before its context is read; a checksum has already removed what fails it.
@@ -122,7 +122,7 @@ def find_spans(text: str, least_score: float = 0.5, reach: int = 40) -> list[Spa
         for kind, pattern, check in (("iban", IBAN, mod97), ("ssn", SSN, None), ("local_phone", LOCAL_PHONE, None)):
             for run in pattern.finditer(text):
                 start, end = run.span()
-                if (check is None or check(run.group())) and not any(i < end and start < j for i, j in taken):
+                if (check is None or check(run.group())) and not any(i <= start and end <= j for i, j in taken):
                     score = PRIOR[kind] + _context(text, start, end, kind, reach)
                     if score >= least_score:
                         found.append(Span(start, KINDS.index(kind), end, min(1.0, score)))
@@ -137,12 +137,12 @@ def find_spans(text: str, least_score: float = 0.5, reach: int = 40) -> list[Spa
 
 
 def redact(text: str, spans: list[Span]) -> str:
-    """The text with each span replaced by its kind in angle brackets; of overlapping spans the first counts."""
+    """The text with each span replaced by its kind in angle brackets; overlapping spans are one, of the first's kind."""
     parts, at = [], 0
     for span in spans:
         if span.start >= at:
             parts += [text[at : span.start], f"<{KINDS[span.rank]}>"]
-            at = span.end
+        at = max(at, span.end)
     return "".join([*parts, text[at:]])
 
 
@@ -156,7 +156,7 @@ def detect_pii(
 
     Base kinds (email, ip, card, phone) follow fixed patterns and checks and always stay; IBANs (mod 97), social
     security numbers, local phone numbers and secrets are added where checksum and the context words within
-    ``reach`` characters give ``least_score``, except inside a base span. A null or empty text has no spans and
+    ``reach`` characters give ``least_score``, except wholly inside a base span. A null or empty text has no spans and
     is redacted to an empty text. Whole texts are read, in time that grows linearly with them. Rows are
     independent: repeated rows repeat, null ids pass through, other columns are not read, no shuffle.
     """
