@@ -226,3 +226,18 @@ def test_stages_on_empty_tables(spark, tmp_path, empty):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, empty, str(tmp_path))
         assert out.count() == 0 and (name == "mixing" or out.columns == empty.columns)
+
+
+def test_vectors_of_a_crowded_direction(spark):
+    """With the query's own parameters no link of a crowd about the threshold is lost."""
+    rng = np.random.default_rng(12)
+    count, width = 9000, 64
+    rows = rng.standard_normal((count, width))
+    centre = rng.standard_normal(width)
+    rows[: count // 3] = centre / np.linalg.norm(centre) + rng.standard_normal((count // 3, width)) * math.sqrt((1 / 0.95 - 1) / width)
+    rows = rows.astype(np.float32)
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rows)], "vec_id long, embedding array<float>")
+    found = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicate_vectors(table, threshold=0.95).collect()}
+    unit = rows.astype(float) / np.linalg.norm(rows.astype(float), axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.95).sum(1) - 1
+    assert want.sum() > 1_000_000 and sum(found.values()) == want.sum() and [found[k] for k in range(count)] == want.tolist()

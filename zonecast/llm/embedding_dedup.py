@@ -241,7 +241,7 @@ def near_duplicate_vectors(
     vectors: DataFrame,
     threshold: float = 0.95,
     trees: int = 4,
-    spill: float = 0.5,
+    spill: float = 1.0,
     sample_rows: int = 20_000,
     seed: int = 17,
     id_col: str = "vec_id",
