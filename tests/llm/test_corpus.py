@@ -241,3 +241,21 @@ def test_vectors_of_a_crowded_direction(spark):
     unit = rows.astype(float) / np.linalg.norm(rows.astype(float), axis=1, keepdims=True)
     want = (unit @ unit.T >= 0.95).sum(1) - 1
     assert want.sum() > 1_000_000 and sum(found.values()) == want.sum() and [found[k] for k in range(count)] == want.tolist()
+
+
+def test_quality_of_a_small_language(spark):
+    """Insults that a few labelled documents hold, of a language of its own, are learned."""
+    docs, labels = labelled(spark)
+    rng = random.Random(14)
+    pool = ["".join(rng.choice(["ka", "lo", "mi", "su", "te"]) for _ in range(rng.randint(2, 4))) for _ in range(400)]
+    insults, own, marks = ["vorgak", "zubbin", "drexul", "plonga"], [], []
+    for k in range(72):
+        text = [rng.choice(pool) for _ in range(rng.randint(20, 120))]
+        if toxic := k % 6 == 0:
+            text[5:5] = [insults[k // 6 % 4], insults[(k // 6 + 1) % 4]]
+        own.append((2000 + k, " ".join(text), "xx", "site9", "toxic" if toxic else "clean"))
+        if k < 60:
+            marks.append((2000 + k, 1, int(toxic)))
+    whole = docs.union(spark.createDataFrame(own, docs.schema))
+    found = quality.judge_quality(whole, labels.union(spark.createDataFrame(marks, labels.schema)), keep_columns=True).where("doc_id >= 2060").collect()
+    assert len(found) == 12 and all(r.keep == (r.kind == "clean") for r in found)

@@ -17,7 +17,9 @@ from zonecast.llm.shared import Scratch
 #: Labelled documents that the classifier is fit on, at most: those of the least id hashes.
 TRAIN_ROWS = 20_000
 #: Words of a label's vocabulary, the documents that a word needs, and its least evidence in nats.
-VOCABULARY, LEAST_DOCS, LEAST_EVIDENCE = 5000, 4, 1.5
+VOCABULARY, LEAST_DOCS, LEAST_EVIDENCE = 5000, 2, 1.5
+#: Documents that a word's evidence is shrunk by.
+SHRINK = 2
 #: Characters of a word's beginning.
 STEM = 5
 #: A site's posterior moves a document's log-odds by at most this much, either way.
@@ -111,41 +113,53 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words += own
             rows += [k] * len(own)
         at = pa.array(rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(batch.column(c).take(at) for c in LABELS)], names=["word", *LABELS])
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(batch.column(c).take(at) for c in ("half", *LABELS))], names=["word", "half", *LABELS])
 
 
-def _vocabulary(train: DataFrame, label: str, totals: dict[str, int]) -> dict[str, float]:
-    """The words that speak most for a label: smoothed log-odds of being in its documents against the rest."""
-    yes, no = totals[label], totals["rows"] - totals[label]
+def _count(half: int, label: str | None = None) -> Column:
+    """Documents of one half, of the label if there is one."""
+    return F.coalesce(F.sum(F.when(F.col("half") == half, F.col(label) if label else F.lit(1))), F.lit(0)).alias(f"{label or 'rows'}_{half}")
+
+
+COUNTS = [(half, label) for half in (0, 1) for label in (None, *LABELS)]
+
+
+def _vocabulary(counts: DataFrame, label: str, totals: dict[str, int], halves: tuple[int, ...]) -> dict[str, float]:
+    """The words that speak most for a label in these halves: smoothed log-odds of being in its documents against the rest."""
+    yes = sum(totals[f"{label}_{h}"] for h in halves)
+    no = sum(totals[f"rows_{h}"] for h in halves) - yes
     if not yes or not no:
         return {}
-    counts = train.mapInArrow(_exploded, "word string, low_quality int, toxic int").groupBy("word").agg(F.sum(label).alias("yes"), F.count(F.lit(1)).alias("all"))
+    own = counts.select("word", sum((F.col(f"{label}_{h}") for h in halves), F.lit(0)).alias("yes"), sum((F.col(f"rows_{h}") for h in halves), F.lit(0)).alias("all"))
     evidence = F.log((F.col("yes") + 1) / (yes + 2)) - F.log((F.col("all") - F.col("yes") + 1) / (no + 2))
-    known = counts.where(F.col("yes") >= LEAST_DOCS).select("word", evidence.alias("e"), "yes").where(F.col("e") >= LEAST_EVIDENCE)
+    known = own.where(F.col("yes") >= LEAST_DOCS).select("word", (evidence * F.col("yes") / (F.col("yes") + SHRINK)).alias("e"), "yes").where(F.col("e") >= LEAST_EVIDENCE)
     return {r.word: r.e for r in known.orderBy(F.desc(F.col("e") * F.sqrt("yes")), "word").limit(VOCABULARY).collect()}
 
 
 def train_model(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> Model:
-    """A model for both labels. Words are learned from one half of the labelled sample, weights from the other."""
+    """A model for both labels. Words are learned from the whole labelled sample; the weights are fit across: each half's words by the other half's evidence."""
     own = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.coalesce(F.lit(1) - F.col("quality"), F.lit(0))).cast("int").alias("low_quality"), F.max(F.coalesce("toxic", F.lit(0))).cast("int").alias("toxic"))
     # The sample is bounded by train_rows.
     sample = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).select(F.col("doc_id").alias("_id"), *LABELS)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     joined = docs.select(F.col(id_col).alias("_doc"), text).join(F.broadcast(sample), F.col("_doc") == F.col("_id"))
-    train = scratch.table(joined.select("text", *LABELS, (F.pmod(F.xxhash64("_id"), F.lit(2)) == 0).alias("half")).dropDuplicates(["text"]))
-    first = train.where("half").select("text", *LABELS)
-    totals = first.agg(F.count(F.lit(1)).alias("rows"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in LABELS)).first().asDict()
-    words = tuple(_vocabulary(first, label, totals) for label in LABELS)
+    half = F.pmod(F.xxhash64("_id"), F.lit(2)).cast("int").alias("half")
+    train = scratch.table(joined.select("text", *LABELS, half).dropDuplicates(["text"]))
+    totals = train.agg(*(_count(*c) for c in COUNTS)).first().asDict()
+    exploded = train.mapInArrow(_exploded, "word string, half int, low_quality int, toxic int")
+    counts = scratch.table(exploded.groupBy("word").agg(*(_count(*c) for c in COUNTS)))
+    words = tuple(_vocabulary(counts, label, totals, (0, 1)) for label in LABELS)
     width = len(shape("", [])) + 2 * len(LABELS)
     sure = np.array([-30.0, *np.zeros(width)])
     blank = Model(words, np.zeros(width), np.ones(width), np.array([sure] * len(LABELS)))
+    across = [blank._replace(words=tuple(_vocabulary(counts, label, totals, (1 - h,)) for label in LABELS)) for h in (0, 1)]
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [blank.features(t) for t in batch.column("text").to_pylist()]
+            rows = [across[h].features(t) for t, h in zip(batch.column("text").to_pylist(), batch.column("half").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), *(batch.column(c) for c in LABELS)], names=["x", *LABELS])
 
-    held = train.where("not half").select("text", *LABELS).mapInArrow(features, "x array<double>, low_quality int, toxic int").collect()
+    held = train.mapInArrow(features, "x array<double>, low_quality int, toxic int").collect()
     if not held:
         return blank
     rows = np.array([r.x for r in held])
