@@ -17,20 +17,27 @@ def zone_demand(trips: DataFrame, window: str = WINDOW, mode: str = "both_sides"
 
     Each trip becomes a pickup event and a dropoff event, so that one aggregation, with one shuffle and one state store,
     counts both; averages take pickup events alone. ``both_sides`` keeps the rows that have pickups and dropoffs,
-    ``either_side`` all. A side without time or zone is left out, the other side of the trip stays. With a delay, the
-    stream is watermarked on the event time.
+    ``either_side`` all. A side without time or zone is left out, the other side of the trip stays.
+
+    With a delay, the two kinds of event are watermarked apart, and the lesser watermark counts (the session's policy ``min``):
+    a ride that ends hours after it began must not close the windows of the pickups that are still to come. Both branches read
+    the same offsets of the stream, once each.
     """
     if mode not in ("both_sides", "either_side"):
         raise ValueError(f"unknown mode: {mode}")
+    kept = ["trip_miles", "trip_time", "weather_temperature_c", "weather_precipitation_mm"]
+    sides = {True: ("pickup_datetime", "PULocationID"), False: ("dropoff_datetime", "DOLocationID")}
 
-    def event(pickup: bool) -> Column:
-        time, zone = ("pickup_datetime", "PULocationID") if pickup else ("dropoff_datetime", "DOLocationID")
-        return F.struct(F.col(time).alias("at"), F.col(zone).alias("zone_id"), F.lit(pickup).alias("is_pickup"))
+    def event(pickup: bool) -> list[Column]:
+        time, zone = sides[pickup]
+        return [F.col(time).alias("at"), F.col(zone).alias("zone_id"), F.lit(pickup).alias("is_pickup")]
 
-    kept = ["trip_miles", "trip_time", "weather_temperature_c", "weather_precipitation_mm"]
-    events = trips.select(F.explode(F.array(event(True), event(False))).alias("e"), *kept).select("e.*", *kept).na.drop(subset=["at", "zone_id"])
-    if delay is not None:
-        events = events.withWatermark("at", delay)
+    if delay is None:
+        events = trips.select(F.explode(F.array(*(F.struct(*event(k)) for k in sides))).alias("e"), *kept).select("e.*", *kept)
+    else:
+        picked, dropped = (trips.withWatermark(time, delay).select(*event(k), *kept) for k, (time, _) in sides.items())
+        events = picked.union(dropped)
+    events = events.na.drop(subset=["at", "zone_id"])
 
     def mean(value: Column) -> Column:
         return F.avg(F.when(F.col("is_pickup"), value))
