@@ -70,6 +70,30 @@ def test_store(spark, tmp_path):
     assert found == {(15, 2): (5, 5, 17), (15, 3): (2, 2, 17), (15, 4): (10, 10, 17), (16, 2): (7, 7, 7)}
 
 
+def test_store_keeps_batches_by_query(spark, tmp_path):
+    """A second query, or a job under a new checkpoint, counts its batches from 0 and loses none of them."""
+    store = tables.TableStore(spark, f"file://{tmp_path}/store")
+    zone = lambda k, name: spark.createDataFrame([(k, name, "b", 0.0, 0.0)], schemas.ZONE)
+    assert store.write("taxi_zones", zone(1, "a"), 5, "q1") and not store.write("taxi_zones", zone(2, "b"), 5, "q1")
+    assert store.write("taxi_zones", zone(2, "b"), 0, "q2") and not store.write("taxi_zones", zone(3, "c"), 0, "q2")
+    assert store.write("taxi_zones", zone(1, "d"), 6, "q1")
+    assert {(r.zone_id, r.zone_name) for r in store.read("taxi_zones").collect()} == {(1, "d"), (2, "b")}
+    assert store.vacuum("taxi_zones") == 0 and store.vacuum("taxi_zones", keep_hours=-1) == 2 and store.vacuum("taxi_zones", keep_hours=-1) == 0
+    assert store.read("taxi_zones").count() == 2 and store.vacuum("network_flows") == 0
+
+
+def test_fresh_checkpoint(spark, tmp_path):
+    sent = codec.flow_messages(flows.od_flows(trip_rows(spark)))
+    sent.write.json(f"{tmp_path}/topic")
+    store = tables.TableStore(spark, f"file://{tmp_path}/s")
+    run = lambda n: jobs.start_sink(readers.stream_messages(spark, "files", f"{tmp_path}/topic", per_trigger=1), "network_flows", store, f"{tmp_path}/k{n}", ONCE).awaitTermination()
+    run(0)
+    whole = store.read("network_flows").count()
+    codec.flow_messages(flow_rows(spark, ("2024-07-20 10:00", 1, 2, 5))).write.mode("append").json(f"{tmp_path}/topic")
+    run(1)
+    assert store.read("network_flows").count() == whole + 1
+
+
 def test_csv(spark, tmp_path):
     path = tables.write_single_csv(spark.createDataFrame([(1, 0, 0.5)], schemas.BASELINE), f"{tmp_path}/b.csv")
     tables.write_single_csv(spark.createDataFrame([(2, 1, 1.5)], schemas.BASELINE), path)
@@ -118,13 +142,26 @@ def test_streams_equal_tables(spark, tmp_path):
     """Every window that the watermark has passed is out once, with the table's numbers."""
     rows = trip_rows(spark)
     got = queries._run(jobs.demand_stream(streamed(spark, rows, f"{tmp_path}/d")), "t1")
-    last = rows.agg(F.max("dropoff_datetime")).first()[0]
+    last = rows.agg(F.max("pickup_datetime")).first()[0]
     closed = demand.zone_demand(rows).where(F.col("time_bucket") + F.expr("interval 45 minutes") <= F.lit(last))
     assert got.exceptAll(closed).count() == 0 and closed.exceptAll(got).count() == 0 and got.count() > 20
     late = queries._run(jobs.flow_stream(streamed(spark, rows, f"{tmp_path}/f")), "t2")
     assert late.exceptAll(flows.od_flows(rows)).count() == 0 and late.count() >= 6
 
 
+def test_long_rides_close_no_windows(spark, tmp_path):
+    """The first ride ends two hours after it began; pickups of later batches are earlier than that and count."""
+    batches = [[("08:00", "10:00")], [("08:20", "08:25"), ("08:46", "08:50")], [("08:47", "08:52")], [("08:48", "08:53"), ("08:49", "08:55"), ("08:58", "08:59"), ("11:30", "11:40")]]
+    for rows in batches:
+        made = events(spark, *((DAY + p, DAY + d, 1, 1) for p, d in rows))
+        made.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(made.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = queries._run(jobs.demand_stream(stream), "long")
+    whole = demand.zone_demand(spark.read.parquet(f"{tmp_path}/in")).where(F.col("time_bucket") < F.lit(DAY + "11:00"))
+    assert got.exceptAll(whole).count() == 0 and whole.exceptAll(got).count() == 0
+    assert {r.pickup_count for r in got.collect()} == {1, 5}
+
+
 def test_late_rows_are_dropped(spark, tmp_path):
     path = f"{tmp_path}/late"
     stream = streamed(spark, trip_rows(spark, 40), path)
@@ -159,7 +196,7 @@ def test_demand_fan_out(spark, tmp_path):
         return write
 
     jobs.start_demand(streamed(spark, rows, f"{tmp_path}/x"), base, count("d"), count("a"), f"{tmp_path}/ck", ONCE).awaitTermination()
-    last = rows.agg(F.max("dropoff_datetime")).first()[0]
+    last = rows.agg(F.max("pickup_datetime")).first()[0]
     closed = demand.zone_demand(rows).where(F.col("time_bucket") + F.expr("interval 45 minutes") <= F.lit(last))
     alerts = demand.hotspots(demand.attach_baseline(closed, base))
     assert sent == {"d": closed.count(), "a": alerts.count()} and sent["a"] > 0
@@ -180,6 +217,49 @@ def test_message_files(spark, tmp_path):
         readers.stream_messages(spark, "other", "x")
 
 
+def test_carriers(monkeypatch):
+    """The options that the Kafka and JDBC carriers are given, and which of the settings wins."""
+    monkeypatch.setenv("KAFKA_BROKERS", "one:9092,two:9092")
+    assert readers.offsets_of("sink", "weather-events") == "earliest" and readers.offsets_of("sink", "hotspot-alerts") == "latest"
+    monkeypatch.setenv("SINK_STARTING_OFFSETS", "earliest")
+    monkeypatch.setenv("SINK_STARTING_OFFSETS_HOTSPOT_ALERTS", "latest")
+    assert readers.offsets_of("sink", "hotspot-alerts") == "latest" and readers.offsets_of("sink", "demand-per-zone") == "earliest"
+    assert readers.kafka_options("t", "earliest", 5) == {"kafka.bootstrap.servers": "one:9092,two:9092", "subscribe": "t", "startingOffsets": "earliest", "failOnDataLoss": "false", "maxOffsetsPerTrigger": "5"}
+    monkeypatch.setenv("PG_USER", "u")
+    found = readers.jdbc_options("jdbc:postgresql://h/d", fetchsize="10")
+    assert found["dbtable"] == "(select zone_id, zone_name, borough, centroid_lat, centroid_lon from taxi_zones) as z" and found["user"] == "u" and found["fetchsize"] == "10" and "password" not in found
+    monkeypatch.setenv("TRIGGER_SINK", "5 seconds")
+    monkeypatch.setenv("TRIGGER_SINK_TRIP_EVENTS", "once")
+    assert jobs.trigger_of("sink", "trip_events") == ONCE and jobs.trigger_of("sink", "network_flows") == {"processingTime": "5 seconds"}
+
+
+def test_all_sinks(spark, tmp_path, monkeypatch):
+    """A query for each table; the wait ends with the first of them."""
+    monkeypatch.setenv("CHECKPOINT_DIR", f"{tmp_path}/ck")
+    rows = trip_rows(spark)
+    demands = demand.zone_demand(rows)
+    base = spark.createDataFrame([(z, h, 0.1 if z else 4.0) for z in (0, 1) for h in range(168)], schemas.BASELINE)
+    sent = {"hourly_demand": codec.demand_messages(demands), "hotspot_alerts": codec.alert_messages(demand.hotspots(demand.attach_baseline(demands, base))), "network_flows": codec.flow_messages(flows.od_flows(rows))}
+    sent["trip_events"] = sent["network_flows"].where("false")
+    for table, messages in sent.items():
+        messages.write.json(f"{tmp_path}/{table}")
+    store = tables.TableStore(spark, f"file://{tmp_path}/s")
+    started = jobs.start_sinks(spark, store, "files", {t: f"{tmp_path}/{t}" for t in jobs.SINKS}, ONCE)
+    assert jobs.run_until_any_ends(spark, 60)
+    for query in started:
+        query.awaitTermination()
+    assert {t: store.read(t).count() for t in sent} == {t: m.count() for t, m in sent.items()}
+
+
+def test_console(spark, capfd):
+    stream = spark.readStream.format("rate").load().select(F.lit("k").alias("key"), F.col("value").cast("string"))
+    query = jobs.start_messages(stream, "console", "", "shown", ONCE)
+    query.awaitTermination()
+    assert query.exception() is None
+    with pytest.raises(ValueError, match="sink"):
+        jobs.start_messages(stream, "other", "", "x", ONCE)
+
+
 def test_settings(monkeypatch):
     monkeypatch.setenv("SINK_OFFSETS", "earliest")
     assert readers.starting_offsets("latest", "SINK_OFFSETS_X", "SINK_OFFSETS") == "earliest" and readers.starting_offsets("latest", "NONE") == "latest"

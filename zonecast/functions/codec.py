@@ -52,8 +52,7 @@ def _instants(df: DataFrame, *names: str) -> DataFrame:
 
 def parse_trip_events(messages: DataFrame) -> DataFrame:
     """Messages of enriched trips to rows of the trip table: zone ids renamed, seconds to minutes."""
-    fields = schemas.as_strings(schemas.ENRICHED_TRIP, "pickup_datetime", "dropoff_datetime")
-    read = from_messages(messages, fields)
+    read = from_messages(messages, schemas.TRIP_MESSAGE)
     rows = read.select(
         temporal.parse_instant(F.col("pickup_datetime_nyc")).alias("pickup_datetime"),
         temporal.parse_instant(F.col("dropoff_datetime_nyc")).alias("dropoff_datetime"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonecast.functions import measures, temporal
+from zonecast.sources import tables
 
 HOURS = 168
 LEAST_WEEKS = 3
@@ -14,7 +15,8 @@ LEAST_WEEKS = 3
 def complete_weeks(trips: DataFrame, time: str = "pickup_datetime") -> tuple[DataFrame, int]:
     """(trips of the weeks between the first and the last, number of those weeks); both ends go even if they are complete.
 
-    Weeks start on Monday and are told apart by that date. Raises ValueError without trips or with fewer than three weeks.
+    Weeks start on Monday and are told apart by that date. They need the whole table: no stream, and one pass over the time column
+    before the plan is built. Raises ValueError without trips or with fewer than three weeks.
     """
     week = temporal.week_start(F.col(time))
     span = trips.agg(F.min(week).alias("first"), F.max(week).alias("last"), F.count_distinct(week).alias("weeks")).first()
@@ -43,6 +45,11 @@ def zone_baseline(spark: SparkSession, trips: DataFrame, weeks: int, zones: Data
     return joined.select("zone_id", "hour_of_week", (F.coalesce("pickups", F.lit(0)) / F.lit(float(weeks))).alias("baseline_mean_pickups"))
 
 
+def write_baseline(baseline: DataFrame, path: str) -> str:
+    """The lookup that demand jobs read: one CSV file, ordered by zone and hour."""
+    return tables.write_single_csv(baseline, path, order=("zone_id", "hour_of_week"))
+
+
 def summary(baseline: DataFrame, exact: bool = True) -> DataFrame:
     """One row: cells, zones, hours, least, greatest, mean, p50, p90, p99, and the cells too low for alerts, with their percentage."""
     value = F.col("baseline_mean_pickups")

@@ -16,12 +16,13 @@ RAIN_HOURS, RAIN_SHARE = 3, 0.15
 def synthetic_weather(spark: SparkSession, start: str, hours: int, seed: int = 42, station: str = STATION) -> DataFrame:
     """A row for each hour from start (ISO, an instant): temperatures follow a sine that peaks at 13 UTC.
 
-    Noise is hashed from seed and hour, so that the result does not depend on partitions.
+    Noise is hashed from seed and hour (the first 28 bits of an MD5), so that the result does not depend on partitions and
+    any SQL can repeat it.
     """
 
     def noise(salt: int, low: float, high: float, per: Column | None = None) -> Column:
-        drawn = F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), F.col("id") if per is None else per), F.lit(1_000_000)) / 1e6
-        return drawn * (high - low) + low
+        text = F.md5(F.concat_ws(":", F.lit(seed), F.lit(salt), F.col("id") if per is None else per))
+        return F.conv(F.substring(text, 1, 7), 16, 10).cast("long") / float(1 << 28) * (high - low) + low
 
     first = F.to_timestamp(F.lit(start))
     hour = F.pmod(F.floor(F.unix_seconds("observation_time") / 3600), F.lit(24))

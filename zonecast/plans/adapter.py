@@ -47,8 +47,12 @@ def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_weather(events: DataFrame) -> DataFrame:
     """Every error event as an observation: several in one hour, none in others."""
+    return observations(events.where("event_type = 'error'"))
+
+
+def observations(events: DataFrame) -> DataFrame:
     value = F.col("value")
-    return events.where("event_type = 'error'").select(
+    return events.select(
         F.col("ts").alias("observation_time"),
         F.concat(F.lit("S"), F.col("event_id").cast("string")).alias("station_id"),
         value.alias("temperature_c"),

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from zonecast import schemas
@@ -14,9 +13,9 @@ from zonecast.operators import baseline as base
 from zonecast.operators import checks, demand, enrich, flows
 from zonecast.operators.weather import synthetic_weather
 from zonecast.plans import adapter as a
-from zonecast.session import shared_folder
-from zonecast.sources import tables
-from zonecast.streaming import jobs
+from zonecast.session import scratch_folder
+from zonecast.sources import readers, tables
+from zonecast.streaming import jobs, replay
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -419,20 +418,162 @@ def append_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stamped(tables.append_missing(old, new, ("hour", "event_type")), "hour")
 
 
-@query()
+def _noise_sql(salt: int, low: float, high: float, per: str = "id") -> str:
+    return f"(cast('0x' || substr(md5('42:{salt}:' || {per}), 1, 7) as bigint) / 268435456.0 * ({high} - ({low})) + ({low}))"
+
+
+@query(
+    f"""with h as (select range as id, 1704067200 + range * 3600 as observed from range(720)),
+d as (select *, 18 + 6 * sin(2 * pi() * (((observed // 3600) % 24) - 7) / 24) + {_noise_sql(1, -0.8, 0.8)} as t, {_noise_sql(3, 0.0, 1.0, "(id // 3)")} < 0.15 as wet from h)
+select observed, 'KNYC' as station_id, round(t, 2) as temperature_c, case when wet then round({_noise_sql(4, 0.5, 4.0)}, 2) end as precipitation_mm, round({_noise_sql(5, 3.0, 8.0)}, 2) as wind_speed_ms,
+round(least(greatest(100 - 1.5 * t + {_noise_sql(2, -5.0, 5.0)}, 40.0), 95.0), 1) as humidity_pct, case when wet then 'Rain' when {_noise_sql(6, 0.0, 1.0)} < 0.35 then 'Clouds' else 'Clear' end as weather_condition from d"""
+)
 def weather_synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hashed noise has no SQL here; the tests hold it to its ranges."""
-    return _stamped(synthetic_weather(spark, "2024-01-01T00:00:00Z", 24 * 30), "observation_time")
+    made = synthetic_weather(spark, "2024-01-01T00:00:00Z", 24 * 30)
+    return made.withColumn("observed", F.unix_seconds("observation_time")).drop("observation_time")
+
+
+# Files: written and read again
+
+def _trip_file(spark: SparkSession, sf_dir: str) -> str:
+    """Raw trips as a month's file, under the older names of the time columns."""
+    folder = scratch_folder(spark, "trips")
+    rows = a.trips(spark, sf_dir).withColumn("pickup_datetime", F.when(F.col("event_id") % 11 != 0, F.col("pickup_datetime")))
+    rows.drop("event_id").withColumnsRenamed({"pickup_datetime": "pickup_ts", "dropoff_datetime": "Dropoff_TS"}).write.parquet(folder)
+    return folder
+
+
+HOLED_SQL = f"{a.FINE_SQL}, held as (select * replace (case when event_id % 11 <> 0 then pickup_datetime end as pickup_datetime) from trips)"
+RAW_ORDER_SQL = "order by pickup_datetime, hvfhs_license_num nulls first, dropoff_datetime nulls first, PULocationID nulls first, DOLocationID nulls first, trip_miles nulls first, trip_time nulls first"
+
+
+def _numbered(rows: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    return rows.withColumn("position", F.row_number().over(Window.orderBy(*order)))
+
+
+@query(f"with {HOLED_SQL} select {STAMP_SQL.format('pickup_datetime')} as pickup_datetime, PULocationID from held")
+def trip_file_two_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.read_trips(spark, _trip_file(spark, sf_dir), "pickup_datetime", "PULocationID").withColumn("pickup_datetime", temporal.wall_clock(F.col("pickup_datetime")))
+
+
+@query(
+    f"with {HOLED_SQL} select {STAMP_SQL.format('pickup_datetime')} as pickup_datetime, hvfhs_license_num, PULocationID, DOLocationID, trip_miles, row_number() over ({RAW_ORDER_SQL}) as position from held where pickup_datetime is not null"
+)
+def trip_file_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trips of a file in the order that a replay sends them; the place of each row is read off the file that they are written to."""
+    rows = readers.read_trips(spark, _trip_file(spark, sf_dir), ordered=True)
+    return _stamped(_in_file_order(rows.select("pickup_datetime", "hvfhs_license_num", "PULocationID", "DOLocationID", "trip_miles")), "pickup_datetime")
+
+
+def _in_file_order(rows: DataFrame) -> DataFrame:
+    """The rows with their position over the files of a sorted table, one after another."""
+    folder = scratch_folder(rows.sparkSession, "ordered")
+    rows.write.parquet(folder)
+    again = rows.sparkSession.read.schema(rows.schema).parquet(folder).withColumns({"_f": F.input_file_name(), "_r": F.col("_metadata.row_index")})
+    # A row for each file.
+    before = again.groupBy("_f").agg(F.count(F.lit(1)).alias("_n")).select(F.col("_f").alias("_g"), (F.sum("_n").over(Window.orderBy("_f")) - F.col("_n")).alias("_before"))
+    return again.join(before, F.col("_f") == F.col("_g")).withColumn("position", F.col("_before") + F.col("_r") + 1).drop("_f", "_g", "_r", "_before")
+
+
+@query(f"with {a.FINE_SQL} select {STAMP_SQL.format('pickup_datetime')} as pickup_datetime, hvfhs_license_num, PULocationID from trips {RAW_ORDER_SQL} limit 100")
+def replay_first_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = a.trips(spark, sf_dir).select(*schemas.RAW_TRIP.names)
+    return _stamped(replay.first_events(rows, 100, "pickup_datetime"), "pickup_datetime").select("pickup_datetime", "hvfhs_license_num", "PULocationID")
+
+
+@query(
+    f"with {a.FINE_SQL}, f as (select epoch_us(min(pickup_datetime)) as first from trips) select event_id, round((epoch_us(pickup_datetime) - first) / 1e6 / 100, 6) as due_seconds from trips, f"
+)
+def replay_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay.schedule(a.trips(spark, sf_dir), "pickup_datetime", 100.0).select("event_id", rounded("due_seconds"))
+
+
+@query(
+    f"with {a.FINE_SQL} select {STAMP_SQL.format('pickup_datetime')} as pickup_datetime, hvfhs_license_num, PULocationID, DOLocationID, trip_miles from trips where PULocationID is not null"
+)
+def replay_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trips replayed into a topic of files, much faster than they were, and parsed from it again."""
+    folder = scratch_folder(spark, "replayed")
+    trips = _instants(a.trips(spark, sf_dir), "pickup_datetime", "dropoff_datetime")
+    replay.replay_trips(trips, replay.topic_writer("files", folder), speed=1e6, wait=lambda _: None)
+    found = codec.from_messages(spark.read.schema("key string, value string").json(folder), schemas.RAW_TRIP)
+    return _stamped(found, "pickup_datetime").select("pickup_datetime", "hvfhs_license_num", "PULocationID", "DOLocationID", "trip_miles")
+
+
+@query(f"""with {a.FINE_SQL}, {a.WEATHER_SQL} select {STAMP_SQL.format('observation_time')} as observation_time, station_id, temperature_c, precipitation_mm, weather_condition from weather""")
+def weather_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations through CSV, whose times state no offset and are UTC."""
+    folder = scratch_folder(spark, "weather")
+    rows = a.weather(spark, sf_dir)
+    columns = [c if c != "observation_time" else F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss").alias(c) for c in reversed(rows.columns)]
+    rows.select(*columns).write.option("header", True).csv(folder)
+    read = readers.read_weather(spark, folder)
+    shown = F.date_format(F.to_utc_timestamp("observation_time", F.current_timezone()), temporal.WALL_CLOCK)
+    return read.select(shown.alias("observation_time"), "station_id", "temperature_c", "precipitation_mm", "weather_condition")
+
+
+@query(
+    f"with {a.COARSE_SQL}, {BASELINE_CTE.format(zones=a.COARSE)} select zone_id, hour_of_week, round(baseline_mean_pickups, 6) as baseline_mean_pickups, row_number() over (order by zone_id, hour_of_week) as position from baseline"
+)
+def baseline_file_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lookup as the one ordered CSV file that the demand job reads; positions are those in the file."""
+    path = base.write_baseline(_baseline(spark, sf_dir, a.COARSE), f"{scratch_folder(spark, 'baseline')}/baseline.csv")
+    found = readers.read_baseline(spark, path).withColumn("_line", F.monotonically_increasing_id())
+    return _numbered(found, ("_line",)).select("zone_id", "hour_of_week", rounded("baseline_mean_pickups"), "position")
+
+
+APPROXIMATE_SQL = ", ".join(f"true as p{p}_close" for p in (50, 90, 99))
+
 
+@query(f"select {APPROXIMATE_SQL}")
+def baseline_summary_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each approximate quantile lies between the exact ones a thousandth to either side of it, and one row more."""
+    grid = _baseline(spark, sf_dir, a.COARSE)
+    found = base.summary(grid, exact=False).select("p50", "p90", "p99", "cells")
+    value, step = F.col("baseline_mean_pickups"), 0.002
+    bounds = grid.agg(*(F.percentile(value, F.lit(min(1.0, max(0.0, p / 100 + d * step)))).alias(f"{n}{p}") for p in (50, 90, 99) for n, d in (("low", -1), ("high", 1)))).first()
+    return found.select(*(F.col(f"p{p}").between(bounds[f"low{p}"], bounds[f"high{p}"]).alias(f"p{p}_close") for p in (50, 90, 99)))
+
+
+@query(
+    f"""with {a.FINE_SQL}, c as (select count(*) as n, strftime(min(pickup_datetime), '%Y-%m') = '2024-01' and strftime(max(pickup_datetime), '%Y-%m') = '2024-01' as m from trips)
+select n as "rows", false as enough, m as in_month, 'fhvhv_tripdata_2024-01.parquet' as file, false as passed from c"""
+)
+def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The check of a month's file through its JSON report."""
+    name = "fhvhv_tripdata_2024-01.parquet"
+    found = checks.validate_trips(a.trips(spark, sf_dir).drop("event_id"), checks.month_of_file(name))
+    path = tables.write_report(found, name, scratch_folder(spark, "reports"))
+    read = spark.read.schema("rows long, checks map<string, boolean>, errors array<string>, passed boolean, file string").json(path)
+    return read.select("rows", F.col("checks")["row_count"].alias("enough"), F.col("checks")["month"].alias("in_month"), "file", "passed")
+
+
+# Streams: the events as a topic of several files in the order of time, one for each micro-batch
+
+SLICES = 5
+
+
+def _slice(time: str) -> Column:
+    """The number of the file that a row is in: the month in even parts."""
+    return F.least(F.floor((F.dayofmonth(time) - 1) * SLICES / 31), F.lit(SLICES - 1))
+
+
+def _topic(rows: DataFrame, time: str, folder: str, numbers: range = range(SLICES)) -> None:
+    """Append the rows to a folder, a file for each slice of time, one after another."""
+    for k in numbers:
+        rows.where(_slice(time) == k).repartition(1).write.mode("append").parquet(folder)
+
+
+def _read_topic(spark: SparkSession, folder: str, like: DataFrame) -> DataFrame:
+    return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
-# Streams: every file of events that is there, read as one stream to its end
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events through a folder that a stream can watch."""
     events = a.table(spark, sf_dir, "events")
-    folder = f"{shared_folder(spark)}/zonecast-topic-{uuid.uuid4().hex[:8]}"
-    events.write.parquet(folder)
-    return spark.readStream.schema(events.schema).parquet(folder)
+    folder = scratch_folder(spark, "topic")
+    _topic(events, "ts", folder)
+    return _read_topic(spark, folder, events)
 
 
 def _instants(df: DataFrame, *names: str) -> DataFrame:
@@ -443,7 +584,7 @@ def _instants(df: DataFrame, *names: str) -> DataFrame:
 def _run(df: DataFrame, name: str) -> DataFrame:
     """Run a stream over what is there, into a table in the shared folder, and read that."""
     spark = df.sparkSession
-    folder = f"{shared_folder(spark)}/zonecast-stream-{name}-{uuid.uuid4().hex[:8]}"
+    folder = scratch_folder(spark, f"stream-{name}")
     writer = df.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
     writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{folder}/out")
@@ -460,16 +601,44 @@ def stream_od_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stamped(_run(jobs.flow_stream(_stream_trips(spark, sf_dir)), "flows"), "time_window")
 
 
+#: Windows that the lesser of the two watermarks has passed.
+CLOSED_SQL = " where time_bucket + interval '15 minutes' <= (select least(max(pickup_datetime), max(dropoff_datetime)) - interval '30 minutes' from trips)"
 STREAM_DEMAND_SQL = f"""with {a.FINE_SQL}, {DEMAND_CTE.format(join='inner').replace('left join hourly w on', "left join (select null::double as temperature_c, null::double as precipitation_mm, null::timestamp as observation_time where false) w on")}
-{DEMAND_OUT_SQL} from demand where time_bucket + interval '15 minutes' <= (select greatest(max(pickup_datetime), max(dropoff_datetime)) - interval '30 minutes' from trips)"""
+{DEMAND_OUT_SQL} from demand {CLOSED_SQL}"""
 
 
 @query(STREAM_DEMAND_SQL)
 def stream_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over several micro-batches, with rides that end long after the delay."""
     none = {c: F.lit(None).cast("double") for c in ("weather_temperature_c", "weather_precipitation_mm")}
     return _demand_out(_run(jobs.demand_stream(_stream_trips(spark, sf_dir).withColumns(none)), "demand"))
 
 
+@query(demand_sql(a.FINE_SQL, "inner").replace("from events where event_type = 'error'", "from events") + DEMAND_OUT_SQL + f" from demand {CLOSED_SQL}")
+def stream_demand_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two jobs, one after the other's topic: trips joined with weather, and demand of what comes out, both resumed from their checkpoints for each file."""
+    folder = scratch_folder(spark, "chain")
+    events = a.table(spark, sf_dir, "events")
+    # The greatest observation of each hour, as the batch form takes it, is in the topic alone.
+    weather = enrich.hourly_weather(a.observations(events))
+    trips = a.as_trips(events)
+    both = ((trips, "pickup_datetime", "trips"), (weather, "observation_time", "weather"))
+    for k in range(SLICES):
+        for rows, time, name in both:
+            _topic(rows, time, f"{folder}/{name}", range(k, k + 1))
+        told, seen = (_instants(_read_topic(spark, f"{folder}/{name}", rows), *times) for (rows, _, name), times in zip(both, (("pickup_datetime", "dropoff_datetime"), ("observation_time",)), strict=True))
+        jobs.start_messages(codec.trip_weather_messages(_stream_enriched(told, a.zones(spark, sf_dir), seen)), "files", f"{folder}/joined", "weather", {"availableNow": True}, root=f"{folder}/checkpoints").awaitTermination()
+        messages = readers.stream_messages(spark, "files", f"{folder}/joined")
+        rows = jobs.demand_stream(readers.stream_enriched_trips(messages, with_weather=True))
+        writer = rows.writeStream.format("parquet").option("path", f"{folder}/demand").option("checkpointLocation", f"{folder}/checkpoints/demand")
+        writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return _demand_out(spark.read.schema(rows.schema).parquet(f"{folder}/demand"))
+
+
+def _stream_enriched(trips: DataFrame, zones: DataFrame, weather: DataFrame) -> DataFrame:
+    return jobs.weather_stream(jobs.enrich_stream(trips, zones), weather)
+
+
 STREAM_WEATHER_SQL = f"""with {a.FINE_SQL}, {a.WEATHER_SQL},
 mark as (select least((select max(date_trunc('hour', pickup_datetime)) from trips) - interval '30 minutes', (select max(date_trunc('hour', observation_time)) from weather) - interval '2 hours') as m)
 select event_id, w.temperature_c as weather_temperature_c, w.weather_condition from trips left join weather w on date_trunc('hour', pickup_datetime) = date_trunc('hour', observation_time), mark
@@ -486,7 +655,7 @@ def stream_weather_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {a.FINE_SQL}, {FLOW_CTE} select {DEGREE_OUT_SQL} from flows")
 def stream_flow_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flow messages through the sink into the keyed table, with degrees over whole windows."""
-    folder = f"{shared_folder(spark)}/zonecast-store-{uuid.uuid4().hex[:8]}"
+    folder = scratch_folder(spark, "store")
     messages = codec.flow_messages(_instants(flows.od_flows(a.trips(spark, sf_dir)), "time_window"))
     messages.write.json(f"{folder}/topic")
     store = tables.TableStore(spark, f"{folder}/tables")
@@ -495,6 +664,50 @@ def stream_flow_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stamped(store.read("network_flows"), "time_window")
 
 
+def _sink_table(spark: SparkSession, table: str, messages: DataFrame) -> DataFrame:
+    """Messages in several files through the sink into a keyed table, twice: the second query, of a new checkpoint, changes nothing."""
+    folder = scratch_folder(spark, f"sink-{table}")
+    messages.repartition(3).write.json(f"{folder}/topic")
+    store = tables.TableStore(spark, f"{folder}/tables")
+    for n in range(2):
+        stream = readers.stream_messages(spark, "files", f"{folder}/topic", per_trigger=2)
+        jobs.start_sink(stream, table, store, f"{folder}/checkpoint{n}", {"availableNow": True}).awaitTermination()
+    return store.read(table)
+
+
+@query(
+    f"with {a.FINE_SQL}, {a.ZONES_SQL}, {ENRICHED_SQL}, rows as (select {STAMP_SQL.format('pickup_datetime')} as pickup_datetime, {STAMP_SQL.format('dropoff_datetime')} as dropoff_datetime, PULocationID as pu_zone_id, DOLocationID as do_zone_id, trip_miles, trip_time / 60.0 as trip_time_min, cast(hour_of_day as integer) as hour_of_day, cast(day_of_week as integer) as day_of_week, is_weekend, is_rush_hour from enriched where DOLocationID is not null) select * from rows qualify row_number() over (partition by pickup_datetime, dropoff_datetime, pu_zone_id, do_zone_id order by trip_miles desc, trip_time_min desc) = 1"
+)
+def stream_trip_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _sink_table(spark, "trip_events", codec.trip_messages(_enriched(spark, sf_dir)))
+    return _stamped(found, "pickup_datetime", "dropoff_datetime")
+
+
+@query(demand_sql(a.FINE_SQL, "inner") + DEMAND_OUT_SQL + " from demand")
+def stream_demand_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _demand_out(_sink_table(spark, "hourly_demand", codec.demand_messages(_demand(spark, sf_dir, "both_sides"))))
+
+
+@query(
+    f"{RATED_SQL} select {STAMP_SQL.format('time_bucket')} as detected_at, zone_id, cast(pickup_count as integer) as demand_current, round(demand_baseline, 6) as demand_baseline, round(ratio, 6) as ratio, case when ratio >= 3 then 'critical' else 'warning' end as severity from rated where demand_baseline >= 1 and ratio >= 2"
+)
+def stream_alert_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _sink_table(spark, "hotspot_alerts", codec.alert_messages(demand.hotspots(_rated(spark, sf_dir))))
+    return found.select(stamp("detected_at"), "zone_id", "demand_current", rounded("demand_baseline"), rounded("ratio"), "severity")
+
+
+@query(
+    f"with {a.ZONES_SQL}, new as (select cast(s_suppkey as integer) as zone_id, s_name as zone_name, 'new' as borough, 1.0::double as centroid_lat, 2.0::double as centroid_lon from supplier where s_suppkey between 20 and 40) select * from new union all select * from zones where zone_id not in (select zone_id from new)"
+)
+def zone_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The zone table, loaded once and then with some zones changed and some new."""
+    store = tables.TableStore(spark, scratch_folder(spark, "zones"))
+    store.write("taxi_zones", a.zones(spark, sf_dir), 0)
+    new = a.table(spark, sf_dir, "supplier").where("s_suppkey between 20 and 40")
+    store.write("taxi_zones", new.select(F.col("s_suppkey").cast("int").alias("zone_id"), F.col("s_name").alias("zone_name"), F.lit("new").alias("borough"), F.lit(1.0).alias("centroid_lat"), F.lit(2.0).alias("centroid_lon")), 1)
+    return store.read("taxi_zones")
+
+
 @query(f"with {a.FINE_SQL}, {a.ZONES_SQL}, {ENRICHED_SQL} select {ENRICHED_OUT_SQL} from enriched")
 def stream_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     enriched = jobs.enrich_stream(_stream_trips(spark, sf_dir).drop("event_id"), a.zones(spark, sf_dir))

@@ -50,6 +50,8 @@ FLOW = _struct("time_window timestamp, origin_zone_id int, dest_zone_id int, tri
 TRIP_EVENT = _struct(
     "pickup_datetime timestamp, dropoff_datetime timestamp, pu_zone_id int, do_zone_id int, trip_miles double, trip_time_min double, " + _TEMPORAL
 )
+#: What the trip table takes of an enriched trip's message; the other fields are not parsed.
+TRIP_MESSAGE = _struct("pickup_datetime_nyc string, dropoff_datetime_nyc string, PULocationID int, DOLocationID int, trip_miles double, trip_time double, " + _TEMPORAL)
 FLOW_DEGREES = T.StructType([*FLOW.fields, *_struct("in_degree long, out_degree long").fields])
 #: A weather service's answer, as far as it is used.
 WEATHER_ANSWER = T.StructType(

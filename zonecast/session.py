@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -34,17 +36,42 @@ def build_session(name: str, streaming: bool = False, time_zone: str = ZONE, wat
 
 
 def checkpoint_path(query: str) -> str:
-    """Each query has its checkpoint folder of its own under CHECKPOINT_DIR."""
-    return f"{os.environ.get('CHECKPOINT_DIR', './checkpoints').rstrip('/')}/{query}"
+    """Each query has its checkpoint folder of its own under CHECKPOINT_DIR, or under the shared folder where that is not set."""
+    root = os.environ.get("CHECKPOINT_DIR")
+    if root is None:
+        spark = SparkSession.getActiveSession()
+        if spark is None:
+            raise RuntimeError("no CHECKPOINT_DIR and no session that names a shared folder")
+        root = f"{shared_folder(spark)}/checkpoints"
+    return f"{root.rstrip('/')}/{query}"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's checkpoint folder, or a temporary one where none is set."""
+    """The folder that driver and executors share: the checkpoint folder of the session. Only a session within one process may do without."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isDefined():
             return found.get().rstrip("/")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="zonecast-")
+        atexit.register(remove, spark, root)
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system it is, unless the session is over."""
+    sc = spark.sparkContext
+    if sc._jsc is None or sc._jsc.sc().isStopped():
+        return
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """The name of a new folder in the shared one; it goes at the end of the process."""
+    path = f"{shared_folder(spark)}/zonecast-{label}-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, path)
+    return path

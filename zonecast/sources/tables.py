@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time as clock
 import uuid
+from datetime import datetime, timezone
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,8 +18,8 @@ from zonecast.operators import flows
 class KeyedTable(NamedTuple):
     name: str
     keys: tuple[str, ...]
-    #: The time that rows are laid out by, in folders of a day.
-    time: str
+    #: The time that rows are laid out by, in folders of a day; a table without one is a single folder.
+    time: str | None
     schema: T.StructType
 
 
@@ -28,6 +30,7 @@ TABLES = {
         KeyedTable("hourly_demand", ("time_bucket", "zone_id"), "time_bucket", schemas.DEMAND),
         KeyedTable("hotspot_alerts", ("detected_at", "zone_id"), "detected_at", schemas.ALERT),
         KeyedTable("network_flows", ("time_window", "origin_zone_id", "dest_zone_id"), "time_window", schemas.FLOW_DEGREES),
+        KeyedTable("taxi_zones", ("zone_id",), None, schemas.ZONE),
     )
 }
 PART = "day"
@@ -62,11 +65,19 @@ def add_degrees(stored: DataFrame, batch: DataFrame) -> DataFrame:
     return flows.with_degrees(merge(touched, batch.select(*plain), TABLES["network_flows"].keys))
 
 
+class Pointer(NamedTuple):
+    #: The last batch of each query that wrote to the table.
+    done: dict[str, int]
+    #: The folder of each day.
+    parts: dict[str, str]
+
+
 class TableStore:
     """Keyed tables in a folder: a version per write, and a pointer that moves when the version is complete.
 
     A write rewrites the day folders that the batch touches and takes over the others by name. Readers see the old version or
-    the new one. The last batch number is part of the pointer, so a batch that comes again is skipped.
+    the new one. The pointer keeps the last batch number of each query, so a batch that comes again is skipped, and one of
+    another query, or of the same job under a new checkpoint, is not. One writer at a time per table.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -76,32 +87,31 @@ class TableStore:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _pointer(self, table: KeyedTable) -> tuple[int, dict[str, str]]:
-        """(last batch, folder of each day)."""
+    def _pointer(self, table: KeyedTable) -> Pointer:
         at = self._path(f"{self.root}/{table.name}/current.txt")
         if not self._fs.exists(at):
-            return -1, {}
-        lines = [r.value for r in self.spark.read.text(at.toString()).orderBy(F.monotonically_increasing_id()).collect()]
-        return int(lines[0]), dict(line.split("\t") for line in lines[1:])
+            return Pointer({}, {})
+        rows = [r.value.split("\t") for r in self.spark.read.text(at.toString()).collect()]
+        return Pointer({q: int(n) for kind, q, n in rows if kind == "query"}, {d: p for kind, d, p in rows if kind == PART})
 
     def read(self, name: str) -> DataFrame:
         table = TABLES[name]
-        _, parts = self._pointer(table)
+        parts = self._pointer(table).parts
         if not parts:
             return self.spark.createDataFrame([], table.schema)
         return self.spark.read.schema(table.schema).parquet(*parts.values())
 
-    def write(self, name: str, batch: DataFrame, batch_id: int) -> bool:
-        """Merge a batch; False if it was merged before or has no rows."""
+    def write(self, name: str, batch: DataFrame, batch_id: int, query: str = "") -> bool:
+        """Merge a batch of a query; False if it was merged before or has no rows."""
         table = TABLES[name]
         done, parts = self._pointer(table)
-        if batch_id <= done:
+        if batch_id <= done.get(query, -1):
             return False
         batch = batch.persist()
         try:
-            day = F.date_format(table.time, "yyyy-MM-dd")
+            day = F.date_format(table.time, "yyyy-MM-dd") if table.time else F.lit("all")
             # The days of a batch: few, as a batch covers a short time.
-            days = [r[0] for r in batch.where(F.col(table.time).isNotNull()).select(day).distinct().collect()]
+            days = [r[0] for r in batch.na.drop(subset=list(table.keys)).select(day).distinct().collect()]
             if not days:
                 return False
             touched = [parts[d] for d in days if d in parts]
@@ -112,16 +122,16 @@ class TableStore:
                 merged = merge(old, batch.select(*table.schema.names), table.keys)
             version = f"{self.root}/{table.name}/v{batch_id}-{uuid.uuid4().hex[:8]}"
             merged.withColumn(PART, day).repartition(PART).sortWithinPartitions(*table.keys).write.partitionBy(PART).parquet(version)
-            parts |= {d: f"{version}/{PART}={d}" for d in days}
-            self._point(table, batch_id, parts)
+            self._point(table, Pointer(done | {query: batch_id}, parts | {d: f"{version}/{PART}={d}" for d in days}))
             return True
         finally:
             batch.unpersist()
 
-    def _point(self, table: KeyedTable, batch_id: int, parts: dict[str, str]) -> None:
+    def _point(self, table: KeyedTable, pointer: Pointer) -> None:
+        lines = [f"query\t{q}\t{n}" for q, n in sorted(pointer.done.items())] + [f"{PART}\t{d}\t{p}" for d, p in sorted(pointer.parts.items())]
         new, current = (self._path(f"{self.root}/{table.name}/{n}") for n in (f"next-{uuid.uuid4().hex[:8]}.txt", "current.txt"))
         out = self._fs.create(new)
-        out.write(bytearray("\n".join([str(batch_id), *(f"{d}\t{p}" for d, p in sorted(parts.items()))]).encode()))
+        out.write(bytearray("\n".join(lines).encode()))
         out.close()
         options = self.spark.sparkContext._jvm.org.apache.hadoop.fs
         context = options.FileContext.getFileContext(new.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
@@ -129,12 +139,36 @@ class TableStore:
         overwrite[0] = options.Options.Rename.OVERWRITE
         context.rename(new, current, overwrite)
 
-
-def write_single_csv(df: DataFrame, path: str) -> str:
-    """A small table as one CSV file with a header; the finished file is moved to its name."""
+    def vacuum(self, name: str, keep_hours: float = 24.0) -> int:
+        """Delete the day folders that the table no longer refers to and that are older than the longest read or write; the number that went."""
+        table = TABLES[name]
+        kept = {self._path(p).toUri().getPath() for p in self._pointer(table).parts.values()}
+        oldest, gone = (clock.time() - 3600 * keep_hours) * 1000, 0
+        root = self._path(f"{self.root}/{table.name}")
+        if not self._fs.exists(root):
+            return 0
+        for version in self._fs.listStatus(root):
+            if not version.isDirectory():
+                continue
+            inside = self._fs.listStatus(version.getPath())
+            days = [f for f in inside if f.isDirectory() and f.getPath().getName().startswith(f"{PART}=")]
+            stale = [f for f in days if f.getPath().toUri().getPath() not in kept and f.getModificationTime() <= oldest]
+            for folder in stale:
+                self._fs.delete(folder.getPath(), True)
+            gone += len(stale)
+            if len(stale) == len(days) and version.getModificationTime() <= oldest:
+                self._fs.delete(version.getPath(), True)
+        return gone
+
+
+def write_single(df: DataFrame, path: str, kind: str = "csv", order: tuple[str, ...] = ()) -> str:
+    """A small table as one file, CSV with a header or JSON lines, in the given order; the finished file is moved to its name."""
     spark = df.sparkSession
     folder = f"{path}.{uuid.uuid4().hex[:8]}"
-    df.coalesce(1).write.option("header", True).csv(folder)
+    one = df.coalesce(1)
+    one = one.sortWithinPartitions(*order) if order else one
+    options = {"header": "true"} if kind == "csv" else {"ignoreNullFields": "false"}
+    one.write.format(kind).options(**options).save(folder)
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -145,22 +179,32 @@ def write_single_csv(df: DataFrame, path: str) -> str:
     return path
 
 
-def gaps(rows: DataFrame, time: str, tie: str, speed: float = 1.0, by: tuple[str, ...] = ()) -> DataFrame:
-    """Rows with gap_seconds: the time since the row before, shortened by the speed; the first has 0.
+def write_single_csv(df: DataFrame, path: str, order: tuple[str, ...] = ()) -> str:
+    return write_single(df, path, "csv", order)
+
+
+def write_report(report: DataFrame, file: str, folder: str) -> str:
+    """A validation report as one JSON file, named by the checked file and the time of the check."""
+    stem = file.rsplit("/", 1)[-1].removesuffix(".parquet")
+    stamp = datetime.now(timezone.utc).strftime("%Y%m%dT%H%M%SZ")
+    return write_single(report.withColumn("file", F.lit(file)), f"{folder.rstrip('/')}/{stem}__{stamp}.json", "json")
+
+
+def gaps(rows: DataFrame, time: str, tie: str, speed: float = 1.0, by: tuple[str, ...] = (), slice: str = "hour") -> DataFrame:
+    """Rows with gap_seconds: the time since the row before, shortened by the speed; the first has 0, and so have rows without a time.
 
-    Without keys the order is over the whole table: each range partition is ordered by itself, and takes its first gap from the
-    greatest time of those before it.
+    Without keys the order is over the whole table: each slice of time (an hour, or what date_trunc knows) is ordered by itself,
+    and takes its first gap from the greatest time of the slices before it, of which there is one row each.
     """
     seconds = F.unix_micros(F.col(time).cast("timestamp")) / 1e6
     if by:
         before = F.lag(seconds).over(Window.partitionBy(*by).orderBy(time, tie))
         return rows.withColumn("gap_seconds", F.coalesce((seconds - before) / speed, F.lit(0.0)))
-    dealt = rows.repartitionByRange(time, tie).withColumn("_p", F.spark_partition_id()).withColumn("_s", seconds)
-    ends = dealt.groupBy("_p").agg(F.max("_s").alias("_end"))
-    # A row for each partition.
-    prior = ends.select(F.col("_p").alias("_q"), F.max("_end").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)).alias("_prior"))
+    dealt = rows.withColumn("_p", F.date_trunc(slice, time)).withColumn("_s", seconds)
+    ends = dealt.where("_p is not null").groupBy("_p").agg(F.max("_s").alias("_end"))
+    prior = ends.select(F.col("_p").alias("_q"), F.lag("_end").over(Window.orderBy("_p")).alias("_prior"))
     before = F.coalesce(F.lag("_s").over(Window.partitionBy("_p").orderBy(time, tie)), F.col("_prior"))
-    joined = dealt.join(F.broadcast(prior), F.col("_p") == F.col("_q"))
+    joined = dealt.join(prior, F.col("_p") == F.col("_q"), "left")
     return joined.withColumn("gap_seconds", F.coalesce((F.col("_s") - before) / speed, F.lit(0.0))).drop("_p", "_q", "_s", "_prior")
 
 

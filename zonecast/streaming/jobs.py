@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from zonecast.functions import codec
 from zonecast.operators import demand, enrich, flows
 from zonecast.session import checkpoint_path
+from zonecast.sources import readers
 from zonecast.sources.tables import TableStore
 
 TRIP_DELAY, WEATHER_DELAY = "30 minutes", "2 hours"
@@ -37,9 +38,10 @@ TOPICS = {
 TRIGGERS = {"enrich": "10 seconds", "weather": "30 seconds", "demand": "10 seconds", "flows": "30 minutes", "sink": "30 seconds"}
 
 
-def trigger_of(job: str) -> dict:
-    """The job's trigger: TRIGGER_<JOB> from the environment, ``once`` for all that is there, else the default."""
-    interval = os.environ.get(f"TRIGGER_{job.upper()}", TRIGGERS[job])
+def trigger_of(job: str, part: str | None = None) -> dict:
+    """The job's trigger: TRIGGER_<JOB>_<PART>, else TRIGGER_<JOB> from the environment, ``once`` for all that is there, else the default."""
+    names = [f"TRIGGER_{job.upper()}"] if part is None else [f"TRIGGER_{job.upper()}_{part.upper()}", f"TRIGGER_{job.upper()}"]
+    interval = next((v for n in names if (v := os.environ.get(n))), TRIGGERS[job])
     return {"availableNow": True} if interval == "once" else {"processingTime": interval}
 
 
@@ -100,11 +102,43 @@ PARSERS = {
 }
 
 
+#: The topic of each table.
+SINKS = {
+    "trip_events": "ride-events-enriched",
+    "hourly_demand": "demand-per-zone",
+    "hotspot_alerts": "hotspot-alerts",
+    "network_flows": "network-flow-updates",
+}
+
+
+def query_of(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a checkpoint keeps for its query over restarts; a new checkpoint is a new query, whose batches count from 0 again."""
+    return spark.read.json(f"{checkpoint.rstrip('/')}/metadata").first()["id"]
+
+
 def start_sink(messages: DataFrame, table: str, store: TableStore, checkpoint: str, trigger: dict) -> StreamingQuery:
     """Messages into a keyed table. A batch that is run again after a failure leaves the table as it is."""
+
+    def write(rows: DataFrame, batch_id: int) -> None:
+        store.write(table, rows, batch_id, query_of(rows.sparkSession, checkpoint))
+
     writer = PARSERS[table](messages).writeStream.queryName(f"sink_{table}").outputMode("append")
-    return writer.option("checkpointLocation", checkpoint).trigger(**trigger).foreachBatch(lambda rows, n: store.write(table, rows, n)).start()
+    return writer.option("checkpointLocation", checkpoint).trigger(**trigger).foreachBatch(write).start()
+
+
+def start_sinks(spark: SparkSession, store: TableStore, kind: str, locations: dict[str, str] | None = None, trigger: dict | None = None) -> list[StreamingQuery]:
+    """A query for each table, from its topic or from the folder that stands for it; each with its own offsets, trigger and checkpoint."""
+    started = []
+    for table, topic in SINKS.items():
+        place = (locations or SINKS)[table]
+        messages = readers.stream_messages(spark, kind, place, readers.offsets_of("sink", topic))
+        started.append(start_sink(messages, table, store, checkpoint_path(f"sink_{table}"), trigger or trigger_of("sink", table)))
+    return started
 
 
-def run_until_any_ends(spark: SparkSession) -> None:
-    spark.streams.awaitAnyTermination()
+def run_until_any_ends(spark: SparkSession, timeout: float | None = None) -> bool:
+    """Wait for the first of the session's queries to end, by an error or by a stop; False if none has within the timeout (seconds)."""
+    if timeout is None:
+        spark.streams.awaitAnyTermination()
+        return True
+    return bool(spark.streams.awaitAnyTermination(timeout))
