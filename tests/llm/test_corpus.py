@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from zonecast.llm import decontaminate, embedding_dedup, mixing, quality
+from zonecast.llm import decontaminate, embedding_dedup, mixing, quality, shared
 
 
 def vectors(spark, rows):
@@ -115,18 +115,54 @@ def test_quality_held_out(spark):
     assert sites["site2"] < sites["site0"]
 
 
-def test_site_posteriors_by_hand(spark):
-    scored = [("h1", "a", 1.0)] * 50 + [("h1", "b", 0.0)] * 1 + [("h2", "a", 0.2)] * 40
-    found = {(r._host, r._path): r for r in quality.site_posteriors(spark.createDataFrame(scored, "_host string, _path string, p_doc double")).collect()}
-    sums = {"h1": (50.0, 51), "h2": (8.0, 40)}
-    mean = 58 / 91
-    rates = [s / n for s, n in sums.values()]
-    spread = sum((r - sum(rates) / 2) ** 2 for r in rates) / 2
-    strength = max(2.0, mean * (1 - mean) / spread - 1)
-    host = {h: (s + strength * mean) / (n + strength) for h, (s, n) in sums.items()}
-    within = ((1 - host["h1"]) ** 2 + host["h1"] ** 2 + (0.2 - host["h2"]) ** 2) / 3
-    k = max(2.0, host["h1"] * (1 - host["h1"]) / within - 1)
-    assert abs(found["h1", "b"].site - (0 + k * host["h1"]) / (1 + k)) < 1e-9 and abs(found["h1", "b"].prior - mean) < 1e-9
+def plain_posteriors(rows):
+    """(p_site, p_good) of each row of (host, path, p): sums in Python, the document itself left out at every level."""
+    by_path, by_host = {}, {}
+    for host, path, p in rows:
+        for held, key in ((by_path, (host, path)), (by_host, host)):
+            total, n = held.get(key, (0.0, 0))
+            held[key] = total + p, n + 1
+    total, count = sum(p for *_, p in rows), len(rows)
+    strength = lambda mean, spread: min(max(mean * (1 - mean) / max(spread, 1e-6) - 1, 2.0), 1e6)
+    rates = [s / n for s, n in by_host.values()]
+    of_host = strength(total / count, sum((r - sum(rates) / len(rates)) ** 2 for r in rates) / len(rates))
+    rate = {h: s / n for h, (s, n) in by_host.items()}
+    within = sum((s / n - rate[h]) ** 2 for (h, _), (s, n) in by_path.items()) / len(by_path)
+    logit = lambda p: math.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+    out = []
+    for host, path, p in rows:
+        prior = (total - p) / (count - 1) if count > 1 else p
+        up = (by_host[host][0] - p + of_host * prior) / (by_host[host][1] - 1 + of_host)
+        k = strength(rate[host], within)
+        site = (by_path[host, path][0] - p + k * up) / (by_path[host, path][1] - 1 + k)
+        out.append((site, 1 / (1 + math.exp(-(logit(p) + logit(site) - logit(prior))))))
+    return out
+
+
+@pytest.mark.parametrize("limit", [1 << 30, 0])
+def test_posteriors_equal_a_plain_version(spark, monkeypatch, limit):
+    """Sites are broadcast, or the heaviest of them alone; both give what sums in Python give."""
+    monkeypatch.setattr(quality, "join_by_key", lambda *a: shared.join_by_key(*a, limit=limit, heavy=3))
+    docs, labels = labelled(spark, 300)
+    docs = docs.withColumn("lang", F.when(F.col("doc_id") % 7 != 0, F.concat(F.lit("l"), (F.col("doc_id") % 4).cast("string")))).withColumn("source", F.when(F.col("doc_id") == 299, "alone").otherwise(F.col("source")))
+    found = quality.judge_quality(docs, labels).collect()
+    want = plain_posteriors([(r.source, r.lang, r.p_doc) for r in found])
+    assert len(found) == 300 and all(abs(r.p_site - site) < 1e-9 and abs(r.p_good - good) < 1e-9 and r.keep == (good >= 0.5) for r, (site, good) in zip(found, want, strict=True))
+    assert max(abs(r.p_doc - r.p_good) for r in found) > 0.01
+    alone = quality.judge_quality(docs.limit(1), labels).first()
+    assert abs(alone.p_doc - alone.p_good) < 1e-5
+
+
+def test_join_by_key(spark, tmp_path):
+    """Heavy and light keys, keys without a row, and null keys, with a broadcast of all and of the heavy ones alone."""
+    rows = spark.createDataFrame([(k, "hot" if k % 2 else f"k{k % 10}" if k % 3 else None) for k in range(200)], "id long, key string")
+    rows.where("key != 'k4'").groupBy(F.col("key").alias("own")).agg(F.count(F.lit(1)).alias("n")).write.parquet(f"{tmp_path}/t")
+    table = spark.read.parquet(f"{tmp_path}/t")
+    want = {(r.id, r.key): r.n for r in rows.join(table, F.col("key") == F.col("own"), "left").collect()}
+    for limit in (1 << 30, 0):
+        for heavy in (2, 1000):
+            got = shared.join_by_key(rows, table, {"key": "own"}, "n", limit=limit, heavy=heavy).collect()
+            assert len(got) == 200 and {(r.id, r.key): r.n for r in got} == want
 
 
 def test_quality_on_odd_tables(spark, docs, empty):

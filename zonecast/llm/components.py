@@ -9,22 +9,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonecast.llm.shared import Scratch
+from zonecast.llm.shared import Scratch, join_by_key
 
 #: Edges that a task holds before it contracts them.
 HELD_EDGES = 500_000
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _led(edges: DataFrame, least: DataFrame, scratch: Scratch) -> DataFrame:
+    """Edges (u, v), each with the node m that u leads to; a node of very many edges fills no task."""
+    known = scratch.table(least.withColumnRenamed("u", "own"))
+    return join_by_key(edges, known, {"u": "own"}, "n").drop("own", "n")
+
+
+def _large_star(edges: DataFrame, scratch: Scratch) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+    return _led(both.where("v > u"), least, scratch).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """edges hold u > v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    moved = _led(edges, least, scratch).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.where("u != v").union(least.select("u", F.col("m").alias("v")))
 
 
@@ -90,7 +96,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 1
     for _ in range(max_rounds):
         if _settled(now):
             break
-        new = _contracted(_small_star(_large_star(now)), scratch)
+        new = _contracted(_small_star(_large_star(now, scratch), scratch), scratch)
         scratch.drop(now)
         now = new
     else:

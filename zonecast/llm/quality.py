@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from zonecast.llm.shared import Scratch
+from zonecast.llm.shared import Scratch, join_by_key
 
 #: Labelled documents that the classifier is fit on, at most: those of the least id hashes.
 TRAIN_ROWS = 20_000
@@ -22,8 +22,6 @@ VOCABULARY, LEAST_DOCS, LEAST_EVIDENCE = 5000, 2, 1.5
 SHRINK = 2
 #: Characters of a word's beginning.
 STEM = 5
-#: A site's posterior moves a document's log-odds by at most this much, either way.
-SITE_REACH = 1.0
 LABELS = ("low_quality", "toxic")
 WORD = re.compile(r"\w+")
 
@@ -76,6 +74,10 @@ class Model(NamedTuple):
     weights: np.ndarray
 
     def features(self, text: str) -> list[float]:
+        """The text's shape, and for each label the sum of its five strongest words and the number of all that are known.
+
+        All words of the text are looked up. A sum over all would grow with a text's length, as every word has some chance to be there.
+        """
         tokens = text.split()
         found = words_of(text)
         row = shape(text, tokens)
@@ -187,27 +189,42 @@ def _logit(p: Column) -> Column:
     return F.log(inside / (1 - inside))
 
 
-def _shrink(mean: Column, spread: Column) -> Column:
-    """The posterior mean of a beta prior that has the parent's mean and the strength that the siblings' spread implies."""
-    strength = F.least(F.greatest(mean * (1 - mean) / F.greatest(spread, F.lit(1e-6)) - 1, F.lit(2.0)), F.lit(1e6))
-    return (F.col("sum_p") + strength * mean) / (F.col("n") + strength)
+def _strength(mean: Column, spread: Column) -> Column:
+    """The number of documents that a beta prior of the parent's mean is worth, from the spread of the siblings' means."""
+    return F.least(F.greatest(mean * (1 - mean) / F.greatest(spread, F.lit(1e-6)) - 1, F.lit(2.0)), F.lit(1e6))
 
 
-def site_posteriors(scored: DataFrame) -> DataFrame:
-    """(_host, _path, site, prior): each path's share of good documents, shrunk toward its host's, and that toward the whole's.
+def site_sums(scored: DataFrame) -> DataFrame:
+    """One row for each path: the documents and the sum of p_doc of the path, of its host and of the whole, and the strengths of the priors of both levels.
 
     All from grouped sums that merge on the map side: one row per path, then per host, then one.
     """
-    paths = scored.groupBy("_host", "_path").agg(F.sum("p_doc").alias("sum_p"), F.count(F.lit(1)).alias("n"))
-    hosts = paths.groupBy("_host").agg(F.sum("sum_p").alias("sum_p"), F.sum("n").alias("n"))
-    deviation = F.col("sum_p") / F.col("n")
+    paths = scored.groupBy(F.col("_host").alias("_h"), F.col("_path").alias("_p")).agg(F.sum("p_doc").alias("path_sum"), F.count(F.lit(1)).alias("path_n"))
+    hosts = paths.groupBy("_h").agg(F.sum("path_sum").alias("host_sum"), F.sum("path_n").alias("host_n"))
     # One row each, and numbers from then on.
-    whole = hosts.agg((F.sum("sum_p") / F.sum("n")).alias("mean"), F.coalesce(F.var_pop(deviation), F.lit(0.0)).alias("spread")).first()
-    mean = F.lit(whole["mean"]).cast("double")
-    host = hosts.select(F.col("_host").alias("_h"), _shrink(mean, F.lit(whole["spread"])).alias("host_mean"))
-    joined = paths.join(host, F.col("_host") == F.col("_h"))
-    within = joined.agg(F.coalesce(F.avg((deviation - F.col("host_mean")) ** 2), F.lit(0.0)).alias("within")).first()["within"]
-    return joined.select("_host", "_path", _shrink(F.col("host_mean"), F.lit(within)).alias("site"), mean.alias("prior"))
+    of_host = F.col("host_sum") / F.col("host_n")
+    whole = hosts.agg(F.sum("host_sum").alias("sum"), F.sum("host_n").alias("n"), F.coalesce(F.var_pop(of_host), F.lit(0.0)).alias("spread")).first()
+    joined = paths.join(hosts.withColumnRenamed("_h", "_k"), F.col("_h") == F.col("_k")).drop("_k")
+    within = joined.agg(F.coalesce(F.avg((F.col("path_sum") / F.col("path_n") - of_host) ** 2), F.lit(0.0)).alias("within")).first()["within"]
+    mean = F.lit((whole["sum"] or 0.0) / (whole["n"] or 1))
+    return joined.withColumns(
+        {
+            "whole_sum": F.lit(whole["sum"]).cast("double"),
+            "whole_n": F.lit(whole["n"]).cast("long"),
+            "host_strength": _strength(mean, F.lit(whole["spread"])),
+            "path_strength": _strength(of_host, F.lit(within)),
+        }
+    )
+
+
+def site_posterior(p: Column) -> tuple[Column, Column]:
+    """(site, prior) of a document beside its site's sums: the posterior mean of its path, shrunk toward its host's and that toward the whole's.
+
+    The document's own p is left out of all three, or it would count twice; of a single document nothing else is known.
+    """
+    prior = F.when(F.col("whole_n") > 1, (F.col("whole_sum") - p) / (F.col("whole_n") - 1)).otherwise(p)
+    host = (F.col("host_sum") - p + F.col("host_strength") * prior) / (F.col("host_n") - 1 + F.col("host_strength"))
+    return (F.col("path_sum") - p + F.col("path_strength") * host) / (F.col("path_n") - 1 + F.col("path_strength")), prior
 
 
 def judge_quality(
@@ -224,11 +241,13 @@ def judge_quality(
     """One row per input row: its id, host and path (or all its columns), p_doc, p_site, p_good, keep.
 
     p_doc is the classifier's probability that the document is neither of low quality nor toxic; p_site is the shrunk share
-    of good documents of its host and path. The site moves the document's log-odds by the difference between its own and
-    the prior's, within ``SITE_REACH``; ``keep`` says whether the result reaches the threshold. A null host or path is a
+    of good documents among the others of its host and path. p_good has the document's log-odds, moved by the difference between
+    those of the site and of the prior; ``keep`` says whether it reaches the threshold. A null host or path is a
     site of its own, a null text is empty; repeated rows are scored alike; labels with a null id or none that match
     leave the classifier without evidence, and then every row is kept; an empty table gives an empty result. Columns of
     the names that the result adds are replaced.
+
+    Documents are not shuffled: sites are few and are broadcast, and where they are not, see join_by_key.
     """
     scratch = Scratch(docs.sparkSession)
     model = train_model(docs, labels, scratch, id_col, text_col, train_rows)
@@ -238,9 +257,9 @@ def judge_quality(
     source = docs.select(F.struct(*names).alias("_row"), *site, F.col(text_col).cast("string").alias("_text"))
     schema = source.drop("_text").schema.add("p_doc", "double")
     scored = scratch.table(source.mapInArrow(_scored(model, "_text"), schema))
-    sites = site_posteriors(scored.select("_host", "_path", "p_doc")).select(F.col("_host").alias("_h"), F.col("_path").alias("_p"), "site", "prior")
-    joined = scored.join(sites, (F.col("_host") == F.col("_h")) & (F.col("_path") == F.col("_p")))
-    moved = F.least(F.greatest(_logit(F.col("site")) - _logit(F.col("prior")), F.lit(-SITE_REACH)), F.lit(SITE_REACH))
-    good = 1 / (1 + F.exp(-(_logit(F.col("p_doc")) + moved)))
-    out = joined.select("_row.*", "p_doc", F.col("site").alias("p_site"), good.alias("p_good"))
-    return out.withColumn("keep", F.col("p_good") >= threshold)
+    sites = scratch.table(site_sums(scored.select("_host", "_path", "p_doc")))
+    joined = join_by_key(scored, sites, {"_host": "_h", "_path": "_p"}, "path_n")
+    own, prior = site_posterior(F.col("p_doc"))
+    good = 1 / (1 + F.exp(-(_logit(F.col("p_doc")) + _logit(F.col("p_site")) - _logit(F.col("_prior")))))
+    placed = joined.select("_row", "p_doc", own.alias("p_site"), prior.alias("_prior"))
+    return placed.select("_row.*", "p_doc", "p_site", good.alias("p_good")).withColumn("keep", F.col("p_good") >= threshold)

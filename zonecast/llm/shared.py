@@ -1,17 +1,16 @@
-"""What the operators share: shared-folder tables, plan sizes, row keys."""
+"""What the operators share: shared-folder tables, plan sizes, row keys, joins with tables of one row per key."""
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonecast.session import shared_folder
+from zonecast.session import remove, scratch_folder
 
 #: Stands for a null id wherever ids are compared: one document, smaller than every other.
 NULL_ID = -(2**63)
+#: Size of a table up to which it is broadcast, and the number of its heaviest keys that are broadcast beyond that.
+BROADCAST_BYTES, HEAVY_KEYS = 32 << 20, 1000
 
 
 class Scratch:
@@ -19,9 +18,8 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.folder = f"{shared_folder(spark)}/zonecast-{uuid.uuid4().hex}"
+        self.folder = scratch_folder(spark, "llm")
         self.count = 0
-        atexit.register(self._remove, self.folder)
 
     def table(self, df: DataFrame) -> DataFrame:
         self.count += 1
@@ -32,14 +30,25 @@ class Scratch:
         return out
 
     def drop(self, df: DataFrame) -> None:
-        self._remove(df._zonecast_path)
-
-    def _remove(self, path: str) -> None:
-        sc = self.spark.sparkContext
-        if sc._jsc is None or sc._jsc.sc().isStopped():
-            return
-        target = sc._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+        remove(self.spark, df._zonecast_path)
+
+
+def join_by_key(rows: DataFrame, table: DataFrame, on: dict[str, str], weight: str, limit: int = BROADCAST_BYTES, heavy: int = HEAVY_KEYS) -> DataFrame:
+    """Rows, left-joined with a written table of one row per key (columns of rows to those of the table); ``weight`` says how many rows have the key.
+
+    A table within the limit is broadcast, and rows stay where they are. Of a larger one the keys that hold over a part in ``heavy`` of
+    all rows, of which there are fewer than that, are broadcast, and only the others meet by a shuffle: no key fills a task.
+    """
+
+    def joined(side: DataFrame, with_: DataFrame, how: str) -> DataFrame:
+        return side.join(with_, [F.col(a) == F.col(b) for a, b in on.items()], how)
+
+    if (plan_bytes(table) or limit + 1) <= limit:
+        return joined(rows, F.broadcast(table), "left")
+    least = (table.agg(F.sum(weight)).first()[0] or 0) / heavy
+    many, few = table.where(F.col(weight) > least), table.where(F.col(weight) <= least)
+    rest = joined(rows, F.broadcast(many.select(*on.values())), "left_anti")
+    return joined(rows, F.broadcast(many), "inner").unionByName(joined(rest, few, "left"))
 
 
 def plan_bytes(df: DataFrame) -> int | None:
