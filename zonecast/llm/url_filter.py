@@ -2,65 +2,49 @@
 
 from __future__ import annotations
 
-import math
-import zlib
-
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Labelled urls (1: block) for the model that is trained where the caller has no table of their own. Fixed values, invented.
-LABELLED = [
-    ("https://cheap-meds.example.org/en/buy", 1),
-    ("http://cheap-pills.example.net/offer", 1),
-    ("https://www.pills-online.example.com/cheap/12", 1),
-    ("http://casino-royal.example.org/play", 1),
-    ("https://win-casino.example.net/bonus", 1),
-    ("http://www.casino-slots.example.com/en/7", 1),
-    ("https://free-bets.example.net/en/1", 1),
-    ("http://sports-bets.example.org/free", 1),
-    ("https://m.best-bets.example.com/win", 1),
-    ("http://spam-link.example.org/farm", 1),
-    ("https://link-farm.example.net/seo/9", 1),
-    ("http://content-farm.example.com/en/3", 1),
-    ("https://ads-server.example.org/click", 1),
-    ("http://track-ads.example.net/pixel", 1),
-    ("https://ad-track.example.com/en/5", 1),
-    ("http://xxx-adult.example.org/video", 1),
-    ("https://porn-tube.example.net/watch", 1),
-    ("http://loan-payday.example.com/apply", 1),
-    ("https://replica-watches.example.org/shop", 1),
-    ("http://download-crack.example.net/keygen", 1),
-    ("http://adult-chat.example.net/en/4", 1),
-    ("https://casino-bonus.example.org/en/9", 1),
-    ("https://win-big-casino.example.org/en/win", 1),
-    ("https://m.adult-videos.example.com/en/66", 1),
-    ("https://blog.example.org/en/2020/travel", 0),
-    ("http://news.example.net/world/article", 0),
-    ("https://www.university.example.com/research", 0),
-    ("http://library.example.org/en/catalog", 0),
-    ("https://m.weather.example.net/city/12", 0),
-    ("http://docs.example.com/en/guide.html", 0),
-    ("https://museum.example.org/fr/visite", 0),
-    ("http://recipes.example.net/de/kuchen", 0),
-    ("https://www.history.example.com/es/guerra", 0),
-    ("http://science.example.org/en/page?id=3", 0),
-    ("https://forum.example.net/thread/42", 0),
-    ("http://www.school.example.com/en/math/", 0),
-    ("https://then.example.org/en/12", 0),
-    ("http://blog.other.example.com/fr/63", 0),
-    ("https://m.thing.example.net/es/8.html", 0),
-    ("http://www.there.example.org/de/90", 0),
-    ("https://onther.example.com/en/517", 0),
-    ("http://blog.inand.example.net/en/1#top", 0),
-    ("https://wiki.example.com/en/Algebra", 0),
-    ("http://photo.example.org/album/2019", 0),
-    ("http://m.photos.example.net/en/31", 0),
-    ("https://m.thereof.example.net/en/77", 0),
-    ("https://m.orchard.example.org/de/8", 0),
-    ("http://m.northern.example.com/en/205", 0),
-]
+#: Words of urls to block and of others, for the model that is trained where the caller has no labelled table. Fixed values, invented.
+BLOCKED_WORDS = (
+    "casino slots poker betting jackpot bingo roulette gamble viagra pills pharmacy meds steroids loan payday lender "
+    "porn xxx adult escort nude sexcam webcam replica watches counterfeit crack keygen warez torrent "
+    "clickbait spam linkfarm seofarm adserver adtrack tracker pixel malware phishing"
+).split()
+FINE_WORDS = (
+    "university library museum science history research weather recipes travel garden school college "
+    "docs manual guide article news journal archive catalog wiki forum blog photo album "
+    "music theatre sports health council village mountain river orchard northern"
+).split()
+#: The commonest pairs of letters of English: names made of them are of no kind, and are not blocked.
+PAIRS = "th he in er an re nd on en at ou ed ha to or it is hi es ng ti te st ar al le se".split()
+NEUTRAL = 240
+#: Forms of urls that such words stand in; word 1 is the url's own, word 2 another of its kind.
+FORMS = (
+    "https://{0}.example.org/en/{n}",
+    "http://www.{0}-{1}.example.com/{n}.html",
+    "https://m.example.net/{0}/{1}",
+    "http://best{0}.example.net/de/{n}?ref=x",
+    "https://thing.example.org/fr/{0}-{1}-{n}",
+)
+#: Labelled urls that are read, at most: those of the least hashes.
+TRAIN_ROWS = 5000
+#: Characters of an n-gram, buckets that n-grams are hashed to, and the factor and modulus of the hash.
+SIZES, BUCKETS, FACTOR, MODULUS = (3, 4, 5), 4096, 131, 2_147_483_647
+
+
+def labelled_urls() -> list[tuple[str, int]]:
+    """(url, 1 to block or 0): every word in every form, and names of no kind in one form each, made by rule."""
+    neutral = ["".join(PAIRS[(k * (5 + 2 * j) + j * j) % len(PAIRS)] for j in range(2 + k % 4)) for k in range(NEUTRAL)]
+    rows = []
+    for label, words, forms in ((1, BLOCKED_WORDS, 5), (0, FINE_WORDS, 5), (0, neutral, 1)):
+        for k, word in enumerate(words):
+            own = [FORMS[(k + f) % len(FORMS)] for f in range(forms)]
+            rows += [(form.format(word, words[(k + 7) % len(words)], n=(37 * k + 11 * f) % 1000), label) for f, form in enumerate(own)]
+    return rows
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -85,78 +69,90 @@ def match_rules(host: Column, path: Column, rules: list[tuple[str, str]]) -> tup
     return rule, verdict
 
 
-def _pieces(host: str, path: str) -> str:
-    return f"^{host}|{path}$"
+def url_text(host: Column, path: Column) -> Column:
+    return F.concat(F.lit("^"), host, F.lit("|"), path, F.lit("$"))
+
 
+def gram_buckets(text: Column) -> Column:
+    """The distinct buckets of the text's n-grams, in time that grows linearly with it: its code points are taken apart once."""
+    points = F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda c: F.ascii(c))
 
-def _python_split(url: str) -> tuple[str, str]:
-    rest = url.partition("://")[2].split("#")[0].split("?")[0]
-    host, slash, path = rest.partition("/")
-    return host.translate(str.maketrans(UPPER, LOWER)), slash + path
+    def grams(own: Column, n: int) -> Column:
+        def bucket(at: Column) -> Column:
+            value = F.lit(n).cast("long")
+            for step in range(n):
+                value = (value * FACTOR + F.get(own, at + step)) % MODULUS
+            return (value % BUCKETS).cast("int")
 
+        return F.when(F.size(own) >= n, F.transform(F.sequence(F.lit(0), F.size(own) - n), bucket)).otherwise(F.array().cast("array<int>"))
 
-def _python_grams(text: str, sizes: tuple[int, ...], buckets: int) -> set[int]:
-    return {zlib.crc32(text[i : i + n].encode()) % buckets for n in sizes for i in range(len(text) - n + 1)}
+    # Bound by a lambda, the array is made once and not for every n-gram.
+    return F.transform(F.array(points), lambda own: F.array_distinct(F.concat(*(grams(own, n) for n in SIZES))))[0]
 
 
-def train(
-    labelled: list[tuple[str, int]], sizes: tuple[int, ...] = (3, 4, 5), buckets: int = 4096, rounds: int = 300, rate: float = 0.5, decay: float = 1e-3
-) -> tuple[float, dict[int, float]]:
-    """(bias, weight of each bucket) by plain gradient descent over a small table of (url, 1 to block or 0); the table is small by contract."""
-    rows = [(sorted(_python_grams(_pieces(*_python_split(u)), sizes, buckets)), y) for u, y in labelled]
-    bias, weights = 0.0, {b: 0.0 for grams, _ in rows for b in grams}
+def fit(rows: list[tuple[list[int], int]], rounds: int = 300, rate: float = 4.0, momentum: float = 0.95, decay: float = 1e-5) -> tuple[float, list[float]]:
+    """(bias, weight of each bucket) by gradient descent with momentum over (buckets, label); each row is scaled to length 1. Without rows nothing is to be blocked."""
+    if not rows:
+        return -30.0, [0.0] * BUCKETS
+    held = np.zeros((len(rows), BUCKETS + 1))
+    for k, (buckets, _) in enumerate(rows):
+        held[k, buckets] = 1 / np.sqrt(max(1, len(buckets)))
+    held[:, -1] = 1.0
+    target, weights, speed = np.array([y for _, y in rows], float), np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
     for _ in range(rounds):
-        step, shift = dict.fromkeys(weights, 0.0), 0.0
-        for grams, y in rows:
-            scale = 1 / math.sqrt(len(grams) or 1)
-            error = y - 1 / (1 + math.exp(-bias - scale * sum(weights[b] for b in grams)))
-            shift += error
-            for b in grams:
-                step[b] += error * scale
-        bias += rate * shift / len(rows)
-        for b, s in step.items():
-            weights[b] += rate * (s / len(rows) * 8 - decay * weights[b])
-    return bias, weights
-
-
-def model_score(host: Column, path: Column, bias: float, weights: dict[int, float], sizes: tuple[int, ...] = (3, 4, 5), buckets: int = 4096) -> Column:
-    """The probability to block, from the distinct hashed n-grams of host and path."""
-    text = F.concat(F.lit("^"), host, F.lit("|"), path, F.lit("$"))
-    length = F.length(text)
-
-    def grams(n: int) -> Column:
-        starts = F.when(length >= n, F.sequence(F.lit(1), length - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.crc32(text.substr(i, F.lit(n))) % buckets)
-
-    distinct = F.array_distinct(F.concat(*(grams(n) for n in sizes)))
-    table = F.lit([float(weights.get(b, 0.0)) for b in range(buckets)])
-    total = F.aggregate(distinct, F.lit(0.0), lambda acc, b: acc + F.get(table, b.cast("int")))
-    return 1 / (1 + F.exp(-F.lit(bias) - total / F.sqrt(F.greatest(F.size(distinct), F.lit(1)))))
+        error = target - 1 / (1 + np.exp(-np.clip(held @ weights, -30, 30)))
+        speed = momentum * speed + held.T @ error / len(rows) - decay * weights
+        weights += rate * speed / 2
+    return float(weights[-1]), weights[:-1].tolist()
+
+
+def train(labelled: DataFrame, url_col: str = "url", label_col: str = "label", train_rows: int = TRAIN_ROWS) -> tuple[float, list[float]]:
+    """The model of a labelled table, of at most ``train_rows`` rows; rows without url or label are left out. Features come from the expressions that score."""
+    known = labelled.select(F.col(url_col).cast("string").alias("_url"), F.col(label_col).cast("int").alias("_label")).na.drop()
+    taken = known.orderBy(F.xxhash64("_url"), "_url", "_label").limit(train_rows)
+    rows = taken.select(gram_buckets(url_text(*split_url(F.col("_url")))).alias("b"), "_label").collect()
+    return fit([(r.b, r._label) for r in rows])
+
+
+def default_labelled(spark: SparkSession) -> DataFrame:
+    """The invented labelled table, (url, label)."""
+    lines = F.split(F.lit("\n".join(f"{y} {u}" for u, y in labelled_urls())), "\n")
+    parts = F.split(F.col("line"), " ")
+    return spark.range(1).select(F.explode(lines).alias("line")).select(parts[1].alias("url"), parts[0].cast("int").alias("label"))
+
+
+def model_score(buckets: Column, bias: float, weights: list[float]) -> Column:
+    """The probability to block, from the distinct buckets of the n-grams of host and path."""
+    # One literal, read once when the plan is made.
+    table = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")
+    total = F.aggregate(buckets, F.lit(0.0), lambda acc, b: acc + F.get(table, b))
+    return 1 / (1 + F.exp(-F.lit(bias) - total / F.sqrt(F.greatest(F.size(buckets), F.lit(1)))))
 
 
 def filter_urls(
     pages: DataFrame,
     rules: list[tuple[str, str]],
-    labelled: list[tuple[str, int]] | None = None,
+    labelled: DataFrame | None = None,
     threshold: float = 0.5,
     id_col: str = "page_id",
     url_col: str = "url",
+    train_rows: int = TRAIN_ROWS,
 ) -> DataFrame:
     """One row per input row: page_id, host, path, rule, verdict, score.
 
     The longest rule that fits decides; without one the model does, at ``threshold``. Null urls and urls without
-    :// have empty host and path and are left to the model. Repeated rows repeat, null ids pass through, other
-    columns are not read, and an empty table gives an empty result. No shuffle and no Python on the executors:
-    the model is trained on the driver from the labelled list and is a constant of the plan.
+    :// have empty host and path and are left to the model. Urls of any length are read whole, in linear time. Repeated rows
+    repeat, null ids pass through, other columns are not read, and an empty table gives an empty result. ``labelled`` has the
+    columns url and label (1 to block); without it an invented table stands in, and an empty one blocks nothing. No shuffle and no Python on the
+    executors: the model is fit on the driver to the buckets of at most ``train_rows`` labelled urls, and is a constant of the plan.
     """
-    bias, weights = train(LABELLED if labelled is None else labelled)
+    bias, weights = train(default_labelled(pages.sparkSession) if labelled is None else labelled, train_rows=train_rows)
     host, path = split_url(F.col(url_col))
     parts = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     rule, verdict = match_rules(F.col("host"), F.col("path"), rules)
     judged = F.when(F.col("score") >= threshold, "block").otherwise("allow")
+    scored = F.transform(F.array(gram_buckets(url_text(F.col("host"), F.col("path")))), lambda b: model_score(b, bias, weights))[0]
     return (
-        parts.withColumn("rule", rule)
-        .withColumn("by_rule", verdict)
-        .withColumn("score", model_score(F.col("host"), F.col("path"), bias, weights))
+        parts.withColumns({"rule": rule, "by_rule": verdict, "score": scored})
         .select("page_id", "host", "path", "rule", F.coalesce("by_rule", judged).alias("verdict"), "score")
     )
