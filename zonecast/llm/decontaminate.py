@@ -183,11 +183,54 @@ def find_in_texts(texts: pa.Array, index: Index) -> Iterator[tuple[int, tuple[in
         at += len(part)
 
 
-def _search(index: Index):
+class Short:
+    """Items too short for edits: found unchanged, as whole words, all in one pass over a text."""
+
+    def __init__(self, items: list[tuple[int, str]]):
+        import ahocorasick
+
+        self.items: dict[str, list[int]] = {}
+        for key, text in items:
+            self.items.setdefault(text, []).append(key)
+        self.automaton = ahocorasick.Automaton()
+        for text in self.items:
+            self.automaton.add_word(text, text)
+        if self.items:
+            self.automaton.make_automaton()
+
+    def find(self, text: str) -> list[tuple[int, int, int, int]]:
+        """(item id, start, end, 0) of every place in a folded text; the places of an item do not overlap."""
+        rows, free = [], {}
+        for last, item in self.automaton.iter(text) if self.items else ():
+            start, end = last + 1 - len(item), last + 1
+            whole = (start == 0 or not (text[start - 1].isalnum() and item[0].isalnum())) and (end == len(text) or not (text[end].isalnum() and item[-1].isalnum()))
+            if whole and start >= free.get(item, 0):
+                free[item] = end
+                rows += [(key, start, end, 0) for key in self.items[item]]
+        return rows
+
+
+def split_items(items: list[tuple[int, str]], min_chars: int, q: int, rate: float) -> tuple[Index, Short]:
+    least = max(min_chars, q)
+    return Index([x for x in items if len(x[1]) >= least], q, rate), Short([x for x in items if len(x[1]) < least])
+
+
+def find_all(texts: pa.Array, index: Index, short: Short) -> Iterator[tuple[int, tuple[int, int, int, int], str]]:
+    """(number of the text, match, passage) of items of both kinds."""
+    if index.ids:
+        yield from find_in_texts(texts, index)
+    if short.items:
+        for k, text in enumerate(texts):
+            folded = fold(text.as_py() or "")
+            for row in short.find(folded):
+                yield k, row, folded[row[1] : row[2]]
+
+
+def _search(index: Index, short: Short):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, rows = [], []
-            for k, row, passage in find_in_texts(batch.column("text"), index):
+            for k, row, passage in find_all(batch.column("text"), index, short):
                 ids.append(k)
                 rows.append((*row, passage))
             columns = list(zip(*rows, strict=True)) if rows else [[], [], [], [], []]
@@ -200,12 +243,12 @@ def _search(index: Index):
     return run
 
 
-def _passes(benchmark: DataFrame, min_chars: int) -> Iterator[list[tuple[int, str]]]:
+def _passes(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """The benchmark's distinct (item_id, folded text) in runs of bounded size; longer texts than a run's size stand alone."""
     run, held = [], 0
     for row in benchmark.where("item_id is not null and text is not null").distinct().orderBy("item_id", "text").toLocalIterator():
         text = fold(row.text)
-        if len(text) < min_chars:
+        if not text:
             continue
         if run and held + len(text) > PASS_CHARS:
             yield run
@@ -229,8 +272,8 @@ def benchmark_passages(
 
     Both sides are lower-cased and white space is folded; start and end are code points of the folded text. An item may
     differ by ``edit_rate`` of its length in edits (fewer where the q-gram lemma would otherwise need no shared q-gram).
-    Places of one item do not overlap: the one with fewest edits stays. Items shorter than ``min_chars`` or null are not
-    searched for, nor are null or empty texts; repeated items count once, repeated documents repeat their rows; null
+    Places of one item do not overlap: the one with fewest edits stays. Items shorter than ``min_chars`` are searched for without
+    edits, as whole words. Items that are null or blank are not searched for; nothing is found in null or empty texts; repeated items count once, repeated documents repeat their rows; null
     document ids pass through; other columns are not read; an empty table on either side gives an empty result.
 
     The benchmark goes to the executors in runs of at most ``PASS_CHARS`` characters, one pass over the documents each;
@@ -241,8 +284,8 @@ def benchmark_passages(
     schema = f"doc_id {id_type}, item_id long, start long, end long, edits long, passage string"
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     found = None
-    for run in _passes(items, min_chars):
-        part = source.mapInArrow(_search(Index(run, q, edit_rate)), schema)
+    for run in _passes(items):
+        part = source.mapInArrow(_search(*split_items(run, min_chars, q, edit_rate)), schema)
         found = part if found is None else found.union(part)
     return docs.sparkSession.createDataFrame([], schema) if found is None else found
 
@@ -253,16 +296,16 @@ def without_passages(
     """The rows, with all their columns, that hold no benchmark item; see benchmark_passages. Rows are judged where they are read: no shuffle."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     kept = docs
-    for run in _passes(items, min_chars):
-        kept = kept.mapInArrow(_clean(Index(run, q, edit_rate), text_col), docs.schema)
+    for run in _passes(items):
+        kept = kept.mapInArrow(_clean(*split_items(run, min_chars, q, edit_rate), text_col), docs.schema)
     return kept
 
 
-def _clean(index: Index, text_col: str):
+def _clean(index: Index, short: Short, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
-            for k, _, _ in find_in_texts(batch.column(text_col), index):
+            for k, _, _ in find_all(batch.column(text_col), index, short):
                 keep[k] = False
             yield batch.filter(pa.array(keep))
 
