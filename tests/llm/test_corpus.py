@@ -58,30 +58,89 @@ def test_vectors_odd_tables(spark):
     assert sorted((r.vec_id or 0, r.n_links, r.component_id) for r in found) == [(0, 1, None), (5, 1, None), (5, 1, None), (6, 0, 6)]
 
 
+def plain_weights(tokens, exponent):
+    total = sum(tokens.values())
+    raised = {k: (v / total) ** exponent for k, v in tokens.items() if v}
+    return {k: v / sum(raised.values()) for k, v in raised.items()}
+
+
+def plain_mix(tokens, target_entropy, max_repetition, budget):
+    """(weights, budget) by a plain bisection of the exponent over the sources by name."""
+    drawn = lambda w: budget if budget is not None else max(tokens[k] / w[k] for k in w)
+    if target_entropy is not None:
+        fits = lambda w: -sum(x * math.log(x) for x in w.values()) <= target_entropy
+    else:
+        fits = lambda w: max_repetition is None or max(drawn(w) * w[k] / tokens[k] for k in w) <= max_repetition
+    low, high = 0.0, 1.0
+    if fits(plain_weights(tokens, 0.0)):
+        high = 0.0
+    elif fits(plain_weights(tokens, 1.0)):
+        for _ in range(60):
+            middle = (low + high) / 2
+            low, high = (low, middle) if fits(plain_weights(tokens, middle)) else (middle, high)
+    weights = plain_weights(tokens, high)
+    return weights, drawn(weights)
+
+
 def test_exponent():
-    tokens = {"a": 800, "b": 150, "c": 50}
-    mix = mixing.solve(tokens, None, 4.0, None)
-    assert 0 < mix.exponent < 1 and abs(max(mix.budget * w / tokens[k] for k, w in mix.weights.items()) - 4) < 1e-6
-    assert abs(min(mix.budget * w / tokens[k] for k, w in mix.weights.items()) - 1) < 1e-9
-    assert abs(mixing.entropy(mixing.solve(tokens, 0.9, None, 1000).weights) - 0.9) < 1e-9
-    assert mixing.solve(tokens, None, None, 1000).exponent == 0 and mixing.solve({}, None, 4.0, None).weights == {}
+    tokens = {"a": 800, "b": 150, "c": 50, "d": 50, "e": 0}
+    counts, times = [800, 150, 50, 0], [1, 1, 2, 1]
+    mix = mixing.solve(counts, times, None, 4.0, None)
+    assert 0 < mix.exponent < 1 and abs(max(mix.budget * mix.weight(n) / n for n in (800, 150, 50)) - 4) < 1e-6
+    assert abs(min(mix.budget * mix.weight(n) / n for n in (800, 150, 50)) - 1) < 1e-9
+    for given in ((None, 4.0, None), (0.9, None, 1000), (None, None, 1000), (None, 2.0, 5000.0), (0.0, None, None), (None, 0.5, 100.0)):
+        mix, (weights, budget) = mixing.solve(counts, times, *given), plain_mix(tokens, *given)
+        assert abs(mix.budget - budget) < 1e-6 * budget and all(abs(mix.weight(tokens[k]) - w) < 1e-9 for k, w in weights.items()) and mix.weight(0) == 0
+    assert mixing.solve(counts, times, None, None, 1000).exponent == 0 and mixing.solve([], [], None, 4.0, None).budget == 0
+
+
+def plain_draws(rows, seed, block_docs, max_repetition, budget):
+    """(copies, block, block_rank) of each row (source, tokens, order, hash of its source and of every block) by plain loops."""
+    by_source = {}
+    for k, row in enumerate(rows):
+        by_source.setdefault(row["source"], []).append(k)
+    tokens = {s: sum(rows[k]["n"] for k in own) for s, own in by_source.items()}
+    weights, budget = plain_mix(tokens, None, max_repetition, budget)
+    out = {}
+    for source, own in by_source.items():
+        part = int(budget * weights.get(source, 0.0) * (1 + 1e-12) + 1e-6)
+        epochs, rest = divmod(part, tokens[source]) if tokens[source] else (1, 0)
+        count = -(-len(own) // block_docs)
+        blocks = {}
+        for k in own:
+            blocks.setdefault(rows[k]["order"] % count, []).append(k)
+        for rank, block in enumerate(sorted(blocks, key=lambda b: (rows[own[0]]["ranks"][b], b))):
+            held = sum(rows[k]["n"] for k in blocks[block])
+            last = None
+            if held > rest:
+                left = rest
+                for order in sorted({rows[k]["order"] for k in blocks[block]}):
+                    size = sum(rows[k]["n"] for k in blocks[block] if rows[k]["order"] == order)
+                    if size > left:
+                        break
+                    left, last = left - size, order
+            for k in blocks[block]:
+                more = rows[k]["n"] > 0 and (held <= rest or (rest > 0 and last is not None and rows[k]["order"] <= last))
+                out[k] = (epochs + more, block, rank)
+            rest = max(0, rest - held)
+    return out
 
 
-def test_mixing(spark, docs, rows, monkeypatch):
+@pytest.mark.parametrize("limit", [1 << 30, 0])
+def test_mixing(spark, docs, rows, monkeypatch, limit):
+    """Draws, blocks and their order as plain loops give them; ties and repeated rows, null texts, sources and ids, blocks broadcast or not."""
     monkeypatch.setattr(mixing, "BLOCK_DOCS", 4)
-    tokens = {}
-    for _, text, _, source, _ in rows:
-        tokens[source] = tokens.get(source, 0) + len((text or "").encode().split())
+    monkeypatch.setattr(mixing, "join_by_key", lambda *a: shared.join_by_key(*a, limit=limit, heavy=3))
+    source = F.coalesce(F.col("source"), F.lit("\x00null"))
+    ranks = F.array(*(F.xxhash64(F.lit(7), F.col("_s"), F.lit(b)) for b in range(30)))
+    hashed = docs.select("doc_id", "text", source.alias("_s"), F.xxhash64(F.lit(7), "doc_id", F.xxhash64("text")).alias("order")).withColumn("ranks", ranks).collect()
+    known = [{"source": r._s, "n": len((r.text or "").encode().split()), "order": r.order, "ranks": r.ranks, "id": r.doc_id} for r in hashed]
     for budget in (None, 30_000.0, 500.0):
-        found = mixing.mix_sources(docs, max_repetition=3.0, budget_tokens=budget, keep_columns=True)
-        mix = mixing.solve({str(k): v for k, v in tokens.items()}, None, 3.0, budget)
-        drawn = {r.source: r for r in found.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("n"), F.max("n_tokens").alias("most")).collect()}
-        for source, own in tokens.items():
-            part = mix.budget * mix.weights[str(source)]
-            got = drawn[source].n if source in drawn else 0
-            most = max(len((t or "").encode().split()) for _, t, _, s, _ in rows if s == source)
-            assert part - most * 4 - 1 <= got <= part + 1, (budget, source, own, part, got)
-        assert budget is not None or found.count() == docs.count()
+        found = mixing.mix_sources(docs, max_repetition=3.0, budget_tokens=budget, keep_columns=True).collect()
+        want = plain_draws(known, 7, 4, 3.0, budget)
+        got = sorted((r.doc_id or -1, r.n_tokens, r.copies, r.block, r.block_rank) for r in found)
+        assert got == sorted((known[k]["id"] or -1, known[k]["n"], *drawn) for k, drawn in want.items() if drawn[0] > 0)
+        assert budget is not None or len(found) == len(rows)
     again = mixing.mix_sources(docs.repartition(7), max_repetition=3.0).select("doc_id", "copies")
     first = mixing.mix_sources(docs, max_repetition=3.0).select("doc_id", "copies")
     assert first.exceptAll(again).count() == 0 and mixing.mix_sources(docs.where("false")).count() == 0
@@ -232,6 +291,41 @@ def test_decontamination(spark, empty):
     assert decontaminate.without_passages(table, bench.where("false")).count() == len(docs)
 
 
+def test_decontamination_equals_a_whole_scan(spark):
+    """Every item against every text by a full table of edits: found if and only if some place is within the budget, up to the bound and beyond it."""
+    rng = random.Random(31)
+    prose = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n)).strip()
+    items = [(k, prose(rng.randint(45, 110))) for k in range(8)]
+    docs = []
+    for k in range(48):
+        item = decontaminate.fold(items[k % 8][1])
+        budget = decontaminate.edit_budget(len(item), 0.07, 12)
+        out = list(item)
+        # Edits as far apart as they can be, which shared q-grams are fewest for: from none to two beyond the budget.
+        for e in range(edits := k // 8 * (budget + 2) // 5):
+            at = min(len(out) - 1, (e + 1) * len(out) // (edits + 1))
+            out[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "yz"[:1]])
+        docs.append((k, f"{prose(60)} {''.join(out)} {prose(60)}"))
+    found = {(r.doc_id, r.item_id) for r in decontaminate.benchmark_passages(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = set()
+    for d, text in docs:
+        for i, item in items:
+            own = decontaminate.fold(item)
+            if plain_edits(own, decontaminate.fold(text)) <= decontaminate.edit_budget(len(own), 0.07, 12):
+                want.add((d, i))
+    assert found == want and 24 <= len(want) < 48
+
+
+def test_short_items(spark):
+    """Without edits, as whole words, however short; with longer ones beside them."""
+    items = [(1, "Yes"), (2, "two  words"), (3, "what is it?"), (4, "yes"), (5, " "), (6, "a longer item that is searched for with edits in it")]
+    docs = [(1, "yes, YES yes"), (2, "eyes yesterday"), (3, "Two\nwords two wordsmith"), (4, "So what is it? What is it?!"), (5, "A longer item that is searchd for with edits in it"), (6, None)]
+    table, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = sorted((r.doc_id, r.item_id, r.start, r.end, r.edits) for r in decontaminate.benchmark_passages(table, bench).collect())
+    assert found == [*((1, i, s, s + 3, 0) for i in (1, 4) for s in (0, 5, 9)), (3, 2, 0, 9, 0), (4, 3, 3, 14, 0), (4, 3, 15, 26, 0), (5, 6, 0, 50, 1)]
+    assert {r.doc_id for r in decontaminate.without_passages(table, bench).collect()} == {2, 6}
+
+
 def test_benchmark_in_several_passes(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "PASS_CHARS", 60)
     items = [(k, f"item {k} " + "abcdefghij klmnop " * (k + 3)) for k in range(4)]
