@@ -358,6 +358,44 @@ def test_stages_on_empty_tables(spark, tmp_path, empty):
         assert out.count() == 0 and (name == "mixing" or out.columns == empty.columns)
 
 
+def test_stages_on_odd_tables(spark, tmp_path, docs, rows):
+    """Null and repeated ids, null, empty and very long texts, repeated rows, and columns of the operators' own names go through every stage."""
+    labelled(spark, 30)[1].where("false").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "no document of the corpus holds this passage of a public benchmark")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    now, counts = docs, []
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, now, str(tmp_path))
+        assert name == "mixing" or out.columns == docs.columns
+        now = shared.Scratch(spark).table(out)
+        counts.append(now.count())
+    # Nothing is judged, lines go but no documents; then one of each group of copies stays, and the rest to the end.
+    assert counts[:2] == [len(rows)] * 2 and counts[2] == counts[3] == counts[4] < len(rows)
+    # The one line of six copies stays in the last of them, 45, with which go the texts that differ in a word; the other five are empty then.
+    # Null, empty and blank texts are one group.
+    kept = [r.doc_id for r in now.select("doc_id").collect()]
+    assert not set(kept) & {*range(40, 45), *range(50, 56), 2, 3} and {45, 1, None} <= set(kept) and kept.count(70) == kept.count(71) == 2
+
+
+def test_vectors_between_crowds(spark):
+    """Pairs just above the threshold all over, and a crowd that is wider than the margin: at least 999 in 1000 links with the query's own parameters."""
+    rng = np.random.default_rng(13)
+    count, width = 8000, 32
+    rows = rng.standard_normal((count, width))
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    rows[:3000] = rows[0] + rng.standard_normal((3000, width)) * math.sqrt((1 / 0.9 - 1) / width)
+    for k in range(4000, 8000, 2):
+        other = rng.standard_normal(width)
+        other -= (other @ rows[k]) * rows[k]
+        rows[k + 1] = 0.951 * rows[k] + math.sqrt(1 - 0.951**2) * other / np.linalg.norm(other)
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    found = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicate_vectors(table).collect()}
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.95).sum(1) - 1
+    assert (want[4000:] >= 1).all() and want[:3000].sum() > 10_000 and all(found[k] <= want[k] for k in range(count))
+    for part in (slice(0, 3000), slice(4000, 8000)):
+        assert sum(found[k] for k in range(count)[part]) >= 0.999 * want[part].sum()
+
+
 def test_vectors_of_a_crowded_direction(spark):
     """With the query's own parameters no link of a crowd about the threshold is lost."""
     rng = np.random.default_rng(12)

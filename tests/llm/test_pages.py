@@ -69,7 +69,14 @@ def test_pii_query(spark, docs, rows, tmp_path):
     assert pii.redact(text, pii.find_spans(text)) == "write <email> or <phone>, <card> é <ip>"
 
 
-def test_pii_on_odd_tables(docs, empty):
+def test_pii_on_odd_tables(spark, docs, empty):
+    """Null ids and texts, repeated rows and clashing columns, by value."""
+    rows = [(None, "a@b.co"), (1, None), (2, ""), (3, "x" * 300_000 + " a@b.co"), (4, "a@b.co a@b.co"), (4, "a@b.co a@b.co")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("spans", "redacted_text", "kind")})
+    found = sorted(((r.doc_id or 0, [(s.kind, s.start, s.end) for s in r.spans], r.redacted_text) for r in pii.detect_pii(table, redacted=True).collect()), key=str)
+    two = (4, [("email", 0, 6), ("email", 7, 13)], "<email> <email>")
+    want = [(0, [("email", 0, 6)], "<email>"), (1, [], ""), (2, [], ""), (3, [("email", 300_001, 300_007)], "x" * 300_000 + " <email>"), two, two]
+    assert found == sorted(want, key=str)
     assert pii.detect_pii(docs, redacted=True).count() == docs.count() and pii.detect_pii(empty).count() == 0
 
 

@@ -197,10 +197,6 @@ def test_spanning_pairs():
         assert whole == part and len(kept) == 20 - len(set(whole.values()))
 
 
-def test_bits_for_a_similarity():
-    assert simhash_dedup.bits_for(0.8, 5) == 26 and simhash_dedup.bits_for(1.0, 5) == 0 and simhash_dedup.bits_for(0.9, 5) < 26
-
-
 def test_components_over_many_partitions(spark, monkeypatch):
     """Long paths and stars that no partition holds whole, contracted in small pieces."""
     from zonecast.llm import components

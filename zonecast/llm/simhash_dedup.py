@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import accumulate, repeat
 
@@ -18,8 +17,8 @@ from zonecast.llm.windows import mix
 
 HASH_SEED = 42
 BITS = 64
-#: Salts of the fingerprints that a similarity search takes together.
-SALTS = (0x0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+#: Step of the keys of bands.
+GOLDEN = 0x9E3779B97F4A7C15
 #: Bands of MinHashes in a similarity search, hashes of one at most, and the share of pairs at the very similarity that may share none.
 BANDS, MOST_BAND_HASHES, MISSED = 56, 32, 1e-4
 #: Rows, and shingles, of one block of a crowd of candidates; larger crowds are compared in pairs of blocks.
@@ -152,18 +151,6 @@ def simhash_groups(
     return out.select("doc_id", "fp", component.alias("component_id"), (id_key("doc_id") == F.col("first")).alias("kept"))
 
 
-def bits_for(similarity: float, words: int) -> int:
-    """The differing bits, of those of all salts together, that edits of single words of documents of that similarity make.
-
-    No bound for other edits: a passage put in or taken out makes more, and no text is judged by it. The Jaccard similarity of shingles of so many words stands for a share of words that are the same in both, that for
-    an angle, and that for a mean number of bits; two standard deviations are added.
-    """
-    same = (2 * similarity / (1 + similarity)) ** (1 / words)
-    share = math.acos(same) / math.pi
-    total = BITS * len(SALTS)
-    return round(total * share + 2 * math.sqrt(total * share * (1 - share)))
-
-
 def band_hashes(similarity: float) -> int:
     """The MinHashes that a band joins: as many as leave documents of that similarity without an equal band in a share MISSED of cases at most."""
     return max([r for r in range(1, MOST_BAND_HASHES + 1) if (1 - similarity**r) ** BANDS <= MISSED], default=1)
@@ -181,7 +168,7 @@ def band_keys(shingles: np.ndarray, hashes: int) -> np.ndarray:
         np.minimum(least, (factors * low[k : k + CHUNK_SHINGLES]).min(1), out=least)
     keys = np.arange(BANDS, dtype=np.uint64)
     for column in least.reshape(BANDS, hashes).T:
-        keys = mix(keys ^ column.astype(np.uint64)) + np.uint64(SALTS[1])
+        keys = mix(keys ^ column.astype(np.uint64)) + np.uint64(GOLDEN)
     return keys.view(np.int64)
 
 
