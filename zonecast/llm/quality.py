@@ -22,6 +22,8 @@ VOCABULARY, LEAST_DOCS, LEAST_EVIDENCE = 5000, 2, 1.5
 SHRINK = 2
 #: Characters of a word's beginning.
 STEM = 5
+#: Rows that a worker scores and sends on at a time.
+SCORED_ROWS = 1000
 LABELS = ("low_quality", "toxic")
 WORD = re.compile(r"\w+")
 
@@ -175,11 +177,13 @@ def train_model(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: st
 
 def _scored(model: Model, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [model.probabilities(text or "") for text in batch.column(text_col).to_pylist()]
-            good = pa.array([math.prod(1 - p for p in row) for row in found], pa.float64())
-            columns = [batch.column(n) for n in batch.schema.names if n != "_text"]
-            yield pa.RecordBatch.from_arrays([*columns, good], names=[*(n for n in batch.schema.names if n != "_text"), "p_doc"])
+        for whole in batches:
+            for k in range(0, whole.num_rows, SCORED_ROWS):
+                batch = whole.slice(k, SCORED_ROWS)
+                found = [model.probabilities(text.as_py() or "") for text in batch.column(text_col)]
+                good = pa.array([math.prod(1 - p for p in row) for row in found], pa.float64())
+                names = [n for n in batch.schema.names if n != "_text"]
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), good], names=[*names, "p_doc"])
 
     return run
 
