@@ -98,6 +98,13 @@ def test_window_pieces_add_up(docs, rows, monkeypatch):
     assert Counter(map(tuple, found.collect())) == plain_windows(rows, 35)
 
 
+def test_windows_of_many_groups_in_few_partitions(docs, rows, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "group_count", lambda _: 40)
+    monkeypatch.setattr(substring_dedup, "MOST_PARTITIONS", 3)
+    found = substring_dedup.remove_repeated_windows(docs, window=35)
+    assert Counter(map(tuple, found.collect())) == plain_windows(rows, 35)
+
+
 def test_packing():
     rng = np.random.default_rng(1)
     for n in (0, 1, 5, 1000):

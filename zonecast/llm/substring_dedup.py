@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import compress
+from itertools import compress, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +19,8 @@ from zonecast.llm.windows import chunks, covered, pack, unpack, window_hashes
 CHUNK_BYTES, HELD_HASHES = 2 << 20, 3_000_000
 #: Bytes of a document group: they grow with the root of the input, between these bounds.
 GROUP_BYTES = (4 << 20, 48 << 20)
+#: Most partitions that the groups are dealt over: of more groups, a task takes several, one after the other.
+MOST_PARTITIONS = 50_000
 
 
 def group_count(docs: DataFrame) -> int:
@@ -44,17 +46,17 @@ def _repeated(values: np.ndarray) -> np.ndarray:
 
 def _count_side(size: int, buckets: int):
     """(g, text) to (bucket, g, hashes): per group and bucket, the group's window hashes, repeats at most twice."""
-    width = (1 << 64) // buckets + 1
-    limits = np.array([width * b for b in range(1, buckets)], np.uint64)
+    width = np.uint64((1 << 64) // buckets + 1)
 
     def send(held: dict[int, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         for g, parts in held.items():
             values = _at_most_two(np.sort(np.concatenate(parts)))
-            cuts = [0, *np.searchsorted(values, limits).tolist(), len(values)]
-            rows = [(b, pack(values[i:j])) for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if j > i]
+            owner = (values // width).astype(np.int32)
+            # Only the buckets that get something: of very many buckets most get nothing from one group.
+            starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            blobs = [pack(values[i:j]) for i, j in pairwise([*starts.tolist(), len(values)])]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([b for b, _ in rows], pa.int32()), pa.array([g] * len(rows), pa.int32()), pa.array([x for _, x in rows], pa.binary())],
-                names=["bucket", "g", "hashes"],
+                [pa.array(owner[starts]), pa.array([g] * len(blobs), pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "g", "hashes"]
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,14 +131,16 @@ def remove_repeated_windows(docs: DataFrame, window: int = 50, id_col: str = "do
     kept unchanged and joined by one space.
 
     Rows fall into groups by content. A group sends each distinct hash at most twice to the hash's bucket, and
-    gets back those that are repeated, so a passage that a third of all rows share costs each group two entries.
+    gets back those that are repeated, so a passage that a third of all rows share costs each group two entries. Partitions hold
+    whole groups in order, several each beyond ``MOST_PARTITIONS``, so a task holds one group's hashes at a time.
     A null text has no words and gives an empty text; texts shorter than a window stay whole; repeated rows
     are copies of each other; a null id is passed through; other columns are not read; an empty table gives
     an empty result.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     groups = group_count(source)
-    dealt = source.withColumn("g", row_group(source, groups, "doc_id", "text")).repartition(groups, "g")
+    dealt = source.withColumn("g", row_group(source, groups, "doc_id", "text"))
+    dealt = dealt.repartition(min(groups, MOST_PARTITIONS), "g").sortWithinPartitions("g")
     hashes = dealt.mapInArrow(_count_side(window, groups), "bucket int, g int, hashes binary")
     answers = hashes.groupBy("bucket").applyInArrow(_answer, "g int, hashes binary")
     id_type = dealt.schema["doc_id"].dataType.simpleString()
