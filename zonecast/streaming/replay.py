@@ -74,12 +74,14 @@ def replay(
     every: float = 1.0,
     stop: Callable[[], bool] = lambda: False,
     wait: Callable[[float], None] = clock.sleep,
+    now: Callable[[], float] = clock.monotonic,
 ) -> int:
     """Send the rows in the order of their time, and return how many were sent.
 
     Each pass is written once to the shared folder, in slices of ``every`` seconds of the shortened time, and a slice is sent when
     it is due; so a lost executor costs a slice, and the driver holds no rows. With ``loop`` the rows are sent again and again;
-    ``max_events`` is the number over all passes. ``stop`` is asked before every slice: what is under way is finished first.
+    ``max_events`` is the number over all passes. ``stop`` is asked before every slice: what is under way is finished first. A slice whose time has passed
+    is sent at once. ``wait`` and ``now`` are the clock.
     """
     spark, sent = rows.sparkSession, 0
     while not stop() and (max_events is None or sent < max_events):
@@ -93,11 +95,11 @@ def replay(
         again = spark.read.schema(staged.schema).parquet(folder)
         # A row for each slice that is not empty.
         counts = again.groupBy("slice").agg(F.count(F.lit(1)).alias("n")).orderBy("slice").collect()
-        began, before = clock.monotonic(), sent
+        began, before = now(), sent
         for own in counts:
             if stop():
                 break
-            late = own["slice"] * every - (clock.monotonic() - began)
+            late = own["slice"] * every - (now() - began)
             if late > 0:
                 wait(late)
             write(again.where(F.col("slice") == own["slice"]).sortWithinPartitions("due_seconds").select("key", "value"))
