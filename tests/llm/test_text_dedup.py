@@ -147,6 +147,12 @@ def test_fingerprint_links(spark, distance):
     assert len(found) == len(want) and {tuple(r) for r in found} == want
 
 
+def test_fingerprint_links_broadcast_no_variants(spark):
+    """A small table of fingerprints is 64 times as large once exploded: the driver must not hold it."""
+    found = simhash_dedup.fingerprint_links(spark.range(100).select(F.xxhash64("id").alias("fp")), 4)
+    assert "Broadcast" not in found._jdf.queryExecution().sparkPlan().toString()
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(k, k + 1) for k in range(100, 160)] + [(7, k) for k in range(8, 30)] + [(rng.randint(200, 300), rng.randint(200, 300)) for _ in range(60)] + [(5, 5)]

@@ -123,7 +123,8 @@ def fingerprint_links(fps: DataFrame, distance: int) -> DataFrame:
         & (F.bit_count(diff) <= distance)
         & (_first_shared_bit(diff, segments) == bit)
     )
-    return one.join(two, meets).select("u", "v")
+    # Catalyst's estimate leaves out that explode makes 64 rows of one: by it, tables far beyond the driver's memory would be broadcast.
+    return one.hint("merge").join(two, meets).select("u", "v")
 
 
 def simhash_groups(
