@@ -293,3 +293,22 @@ def test_near_copies_in_a_crowd(spark, monkeypatch, limit):
     found = {r.doc_id: r.component_id for r in simhash_dedup.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     want = plain_near_groups(rows)
     assert found == want and 1 < len(set(want.values())) < 250
+
+
+def test_near_copies_by_fingerprint(spark, monkeypatch):
+    """The variants of fingerprints find pairs by themselves, and the shingles decide: repeats weigh in a fingerprint and not in a set."""
+    monkeypatch.setattr(simhash_dedup, "band_keys", lambda shingles, hashes: np.array([shingles.sum()], np.uint64).view(np.int64))
+    rng = random.Random(34)
+    rows = []
+    for k in range(12):
+        base = pseudo_words(rng, 600)
+        rows += [(10 * k, " ".join(base)), (10 * k + 1, " ".join([*base[:-1], "changed"])), (10 * k + 2, " ".join(pseudo_words(rng, 600)))]
+    refrain = pseudo_words(rng, 7) * 300
+    rows += [(1000 + k, " ".join(refrain + pseudo_words(rng, 40))) for k in range(2)]
+    fps = {i: plain_fingerprint(t, 5) for i, t in rows}
+    near = [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 4]
+    texts = dict(rows)
+    want = plain_components(fps, [(a, b) for a, b in near if jaccard(texts[a], texts[b]) >= 0.8])
+    assert (1000, 1001) in near and want[1001] == 1001 and len(set(want.values())) < len(rows) - 8
+    found = simhash_dedup.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: r.component_id for r in found} == want

@@ -174,23 +174,25 @@ def band_keys(shingles: np.ndarray, hashes: int) -> np.ndarray:
 
 
 def shingle_bands(docs: DataFrame, words: int, hashes: int, id_col: str, text_col: str) -> DataFrame:
-    """(key_id, digest, size, bands): for each row a hash and the size of its set of shingles, and the set's bands; no bands for an empty set."""
+    """(key_id, fp, digest, size, bands): for each row its fingerprint, a hash and the size of its set of shingles, and the set's bands; no bands for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, sizes, bands = [], [], []
+            fps, digests, sizes, bands = [], [], [], []
             for text in batch.column(1).cast(pa.binary()):
-                own = shingle_set(text.as_py() or b"", words)
+                every = shingle_hashes(text.as_py() or b"", words)
+                own = np.unique(every)
+                fps.append(fingerprint(every))
                 digests.append(xxhash.xxh3_128_digest(own.tobytes()))
                 sizes.append(len(own))
                 bands.append(band_keys(own, hashes) if len(own) else np.empty(0, np.int64))
             stops = np.cumsum([0, *map(len, bands)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(stops, pa.array(np.concatenate([np.empty(0, np.int64), *bands])))
-            columns = [batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["key_id", "digest", "size", "bands"])
+            columns = [batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["key_id", "fp", "digest", "size", "bands"])
 
     source = docs.select(id_key(id_col).alias("key_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, "key_id long, digest binary, size long, bands array<long>")
+    return source.mapInArrow(run, "key_id long, fp long, digest binary, size long, bands array<long>")
 
 
 def _nearest_tree(count: int, u: np.ndarray, v: np.ndarray, cost: np.ndarray) -> np.ndarray:
@@ -267,16 +269,28 @@ def _similar_pairs(similarity: float):
     return run
 
 
-def _similar_links(docs: DataFrame, nodes: DataFrame, similarity: float, words: int, scratch: Scratch) -> DataFrame:
-    """(u, v) of nodes whose sets of shingles are that similar, a spanning forest at least of all that share a band.
+def _fingerprint_stars(marked: DataFrame, nodes: DataFrame, distance: int, scratch: Scratch) -> DataFrame:
+    """(u, v) of nodes: as connected as all pairs of them that have fingerprints within the distance."""
+    held = marked.select("fp", "digest").distinct().join(nodes.select(F.col("digest").alias("own"), "least"), F.col("digest") == F.col("own")).select("fp", "least")
+    held = scratch.table(held)
+    firsts = scratch.table(held.groupBy("fp").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("n")))
+    same = held.join(firsts.where("n > 1").select(F.col("fp").alias("own"), "first"), F.col("fp") == F.col("own")).select(F.col("least").alias("u"), F.col("first").alias("v"))
+    pairs = fingerprint_links(firsts.select("fp"), distance).withColumnsRenamed({"u": "fp_u", "v": "fp_v"})
+    one, two = (firsts.select(F.col("fp").alias(f"own_{x}"), F.col("first").alias(x)) for x in "uv")
+    near = pairs.join(one, F.col("fp_u") == F.col("own_u")).join(two, F.col("fp_v") == F.col("own_v")).select("u", "v")
+    return same.union(near).where("u != v")
 
-    Nodes that share a band, directly or through others, are one crowd, and all the pairs of a crowd are compared on the shingles
-    of their whole texts. Crowds too large for a task are split into blocks, and every pair of blocks is compared, so none is cut.
+
+def _similar_links(docs: DataFrame, marked: DataFrame, nodes: DataFrame, similarity: float, distance: int, words: int, scratch: Scratch) -> DataFrame:
+    """(u, v) of nodes whose sets of shingles are that similar, a spanning forest at least of all that have near fingerprints or share a band.
+
+    Nodes that are candidates for each other, directly or through others, are one crowd, and all the pairs of a crowd are compared on the
+    shingles of their whole texts. Crowds too large for a task are split into blocks, and every pair of blocks is compared, so none is cut.
     """
     keyed = nodes.select(F.col("least").alias("node"), F.explode("bands").alias("key"))
     leasts = keyed.groupBy("key").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("own"), "v")
     stars = keyed.join(leasts, F.col("key") == F.col("own")).where("node != v").select(F.col("node").alias("u"), "v").distinct()
-    crowds = scratch.table(connected_components(stars, scratch))
+    crowds = scratch.table(connected_components(_fingerprint_stars(marked, nodes, distance, scratch).union(stars), scratch))
     sized = crowds.join(nodes.select("least", "size"), F.col("node") == F.col("least"))
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / RUN_ROWS, F.sum("size") / RUN_SHINGLES)).cast("int")
     members = scratch.table(
@@ -290,12 +304,15 @@ def _similar_links(docs: DataFrame, nodes: DataFrame, similarity: float, words:
     return paired.groupBy("component", "i", "j").applyInArrow(_similar_pairs(similarity), "u long, v long")
 
 
-def near_duplicate_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicate_groups(
+    docs: DataFrame, similarity: float = 0.8, words: int = 5, distance: int = 4, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """One row per input row: doc_id, component_id, kept; for documents that are as similar in shingles of ``words`` words.
 
     Two documents link if the Jaccard similarity of their sets of shingles (lower-cased in ASCII, hashed to 64 bits, of the whole
-    texts) is at least ``similarity``; every link is decided so. A fingerprint of shingles loses a bit in seven at a
-    similarity of 0.8, too many for an index, so candidates are those that agree in a band of MinHashes: two documents of just
+    texts) is at least ``similarity``; every link is decided so. Candidates are the pairs that simhash_groups links, of fingerprints
+    within ``distance`` bits, found through the same variants. A fingerprint of shingles loses a bit in seven at a similarity of
+    0.8, too many for an index, so those that agree in a band of MinHashes are candidates too: two documents of just
     that similarity share none in a share MISSED of cases at most, and others of their group may still bring them together.
 
     Rows of one id are one document. A null or blank text has no words: such documents are one group. A null id counts as
@@ -306,7 +323,7 @@ def near_duplicate_groups(docs: DataFrame, similarity: float = 0.8, words: int =
     marked = scratch.table(shingle_bands(docs, words, band_hashes(similarity), id_col, text_col))
     nodes = scratch.table(marked.groupBy("digest").agg(F.min("key_id").alias("least"), F.first("size").alias("size"), F.first("bands").alias("bands")))
     source = docs.select(id_key(id_col).alias("key_id"), F.col(text_col).cast("string").alias("text"))
-    links = scratch.table(_similar_links(source, nodes, similarity, words, scratch))
+    links = scratch.table(_similar_links(source, marked, nodes, similarity, distance, words, scratch))
     groups = connected_components(links, scratch)
     named = nodes.join(groups, F.col("least") == F.col("node"), "left").select(F.col("digest").alias("own"), F.coalesce("component", "least").alias("component"))
     out = marked.select("key_id", "digest").join(named, F.col("digest") == F.col("own"), "left")
