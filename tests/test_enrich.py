@@ -135,3 +135,16 @@ def test_zone_table(spark):
     assert [tuple(r) for r in checks.zone_table(lookup, places).collect()] == [(1, "A", "X", 1.0, 2.0)]
     with pytest.raises(KeyError):
         checks.zone_table(lookup.drop("ZONE"), places)
+
+
+def test_fan_out_keeps_its_partitions(spark):
+    """All rows of the plain join, trips of no hour or no weather too; hours stay dealt over several tasks, however little goes in."""
+    trips = spark.sql("select id as event_id, if(id % 7 = 0, null, timestamp'2024-01-01 00:30:00' + make_interval(0, 0, 0, 0, id % 4)) as pickup_datetime from range(40)").coalesce(1)
+    weather = spark.sql(
+        """select timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, id % 3, id % 50) as observation_time, double(id * 7 % 5) as temperature_c, 0d as precipitation_mm,
+        1d as wind_speed_ms, 2d as humidity_pct, 'Clear' as weather_condition from range(60)"""
+    ).repartition(5)
+    found, plain = enrich.fan_out_weather(trips, weather).collect(), enrich.join_weather(trips, weather).collect()
+    assert sorted(map(repr, found)) == sorted(map(repr, plain)) and len(found) > 400
+    tasks = lambda df: df.select(F.spark_partition_id()).distinct().count()
+    assert tasks(enrich.fan_out_weather(trips, weather)) > 1 == tasks(enrich.join_weather(trips, weather))
