@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonecast.llm import decontaminate, line_dedup, mixing, quality, simhash_dedup
-from zonecast.llm.shared import Scratch, id_key
+from zonecast.llm.shared import Scratch, bound_batches, id_key
 
 
 def _columns(out: DataFrame, docs: DataFrame) -> DataFrame:
@@ -21,12 +21,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the lines that five documents or more share (but in the one of the largest id), n_chars counted anew."""
+    bound_batches(spark)
     kept = line_dedup.drop_shared_lines(docs, min_docs=5, min_chars=40, keep_columns=True)
     return _columns(kept.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("kept_text").cast("long")), docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that of the least id."""
+    bound_batches(spark)
     groups = simhash_dedup.near_duplicate_groups(docs, similarity=0.8, words=5)
     gone = groups.where("not kept").select(id_key("doc_id").alias("gone"))
     return docs.join(gone, id_key("doc_id") == gone["gone"], "left_anti")
@@ -34,6 +36,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    bound_batches(spark)
     return decontaminate.without_passages(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

@@ -6,6 +6,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -427,3 +428,40 @@ def test_quality_of_a_small_language(spark):
     whole = docs.union(spark.createDataFrame(own, docs.schema))
     found = quality.judge_quality(whole, labels.union(spark.createDataFrame(marks, labels.schema)), keep_columns=True).where("doc_id >= 2060").collect()
     assert len(found) == 12 and all(r.keep == (r.kind == "clean") for r in found)
+
+
+def test_batches_of_texts_are_bounded(spark, monkeypatch):
+    """Rows go to the workers by their bytes, and a text that is among the kept columns goes once. Before, all 32 MB went as one batch, twice."""
+
+    def sized(model, text_col):
+        def run(batches):
+            for batch in batches:
+                seen = pa.array([float(batch.nbytes)] * len(batch), pa.float64())
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in batch.schema.names if n != "_text"), seen], names=[*(n for n in batch.schema.names if n != "_text"), "p_doc"])
+
+        return run
+
+    monkeypatch.setattr(quality, "_scored", sized)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.range(1600).coalesce(1).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit("en").alias("lang"), F.repeat(F.lit("word "), 4000).alias("text"))
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    try:
+        found = quality.judge_quality(docs, labels, keep_columns=True)
+        assert found.count() == 1600
+        assert found.agg(F.max("p_doc")).first()[0] < 1.1 * shared.BATCH_BYTES
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 1000)
+        shared.bound_batches(spark)
+        assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "1000"
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)
+
+
+def test_quality_same_in_any_batches(spark):
+    """Texts within the rows and beside them, in slices and in batches, are scored alike."""
+    docs = spark.range(2500).coalesce(1).select(
+        F.col("id").alias("doc_id"), (F.col("id") % 7).cast("string").alias("source"), F.lit("en").alias("lang"), F.when(F.col("id") % 11 > 0, F.concat_ws(" ", F.lit("good text"), F.col("id") % 97, F.when(F.col("id") % 3 == 0, "spam spam"))).alias("text")
+    )
+    labels = spark.range(600).select(F.col("id").alias("doc_id"), (F.col("id") % 3 > 0).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    with_texts, without = ({r.doc_id: (r.p_doc, r.keep) for r in quality.judge_quality(docs, labels, keep_columns=k).collect()} for k in (True, False))
+    assert len(with_texts) == 2500 and with_texts == without
+    assert len({p for p, _ in with_texts.values()}) > 3

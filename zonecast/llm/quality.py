@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from zonecast.llm.shared import Scratch, join_by_key
+from zonecast.llm.shared import Scratch, bound_batches, join_by_key
 
 #: Labelled documents that the classifier is fit on, at most: those of the least id hashes.
 TRAIN_ROWS = 20_000
@@ -175,12 +175,15 @@ def train_model(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: st
     return Model(words, mean, scale, np.array(fits))
 
 
-def _scored(model: Model, text_col: str):
+def _scored(model: Model, text_col: str | None):
+    """Adds p_doc of the text in _text, or in that field of _row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, SCORED_ROWS):
                 batch = whole.slice(k, SCORED_ROWS)
-                found = [model.probabilities(text.as_py() or "") for text in batch.column(text_col)]
+                texts = batch.column("_row").field(text_col) if text_col else batch.column("_text")
+                found = [model.probabilities(text.as_py() or "") for text in texts]
                 good = pa.array([math.prod(1 - p for p in row) for row in found], pa.float64())
                 names = [n for n in batch.schema.names if n != "_text"]
                 yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), good], names=[*names, "p_doc"])
@@ -251,16 +254,19 @@ def judge_quality(
     leave the classifier without evidence, and then every row is kept; an empty table gives an empty result. Columns of
     the names that the result adds are replaced.
 
-    Documents are not shuffled: sites are few and are broadcast, and where they are not, see join_by_key.
+    Workers get bounded batches, by bound_batches. Documents are not shuffled: sites are few and are broadcast, and where they are not, see join_by_key.
     """
+    bound_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
     model = train_model(docs, labels, scratch, id_col, text_col, train_rows)
     added = ("p_doc", "p_site", "p_good", "keep")
     names = [c for c in (docs.columns if keep_columns else (id_col, host_col, path_col)) if c not in added]
     site = [F.coalesce(F.col(c).cast("string"), F.lit("\x00null")).alias(a) for c, a in ((host_col, "_host"), (path_col, "_path"))]
-    source = docs.select(F.struct(*names).alias("_row"), *site, F.col(text_col).cast("string").alias("_text"))
+    # A text that the row holds is sent to the workers once.
+    held = text_col if text_col in names and dict(docs.dtypes)[text_col] == "string" else None
+    source = docs.select(F.struct(*names).alias("_row"), *site, *([] if held else [F.col(text_col).cast("string").alias("_text")]))
     schema = source.drop("_text").schema.add("p_doc", "double")
-    scored = scratch.table(source.mapInArrow(_scored(model, "_text"), schema))
+    scored = scratch.table(source.mapInArrow(_scored(model, held), schema))
     sites = scratch.table(site_sums(scored.select("_host", "_path", "p_doc")))
     joined = join_by_key(scored, sites, {"_host": "_h", "_path": "_p"}, "path_n")
     own, prior = site_posterior(F.col("p_doc"))
