@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tests.test_demand import DAY, events
 from zonecast import schemas
 from zonecast.functions import codec
-from zonecast.operators import demand, flows
+from zonecast.operators import demand, enrich, flows
 from zonecast.plans import queries
 from zonecast.sources import readers, tables
 from zonecast.streaming import jobs
@@ -184,6 +184,38 @@ def test_weather_stream(spark, tmp_path):
     assert joined.count() == joined.where("weather_temperature_c = 9.0").count() == trips.where(F.hour("pickup_datetime") == 8).count()
 
 
+def seen_rows(spark, count, step):
+    """Observations every so many minutes from 08:00 on, several an hour, some fields null."""
+    return spark.range(count).select(
+        (F.to_timestamp(F.lit(DAY + "08:00")) + F.make_dt_interval(mins=F.col("id").cast("int") * step)).alias("observation_time"), F.lit("K").alias("station_id"),
+        F.when(F.col("id") % 5 > 0, F.col("id").cast("double")).alias("temperature_c"), *(F.lit(0.0).alias(c) for c in ("precipitation_mm", "wind_speed_ms", "humidity_pct")), F.lit("Clear").alias("weather_condition"),
+    )
+
+
+@pytest.mark.parametrize("least", [1, 8 << 20])
+def test_weather_pairs_equal_rows(spark, monkeypatch, least):
+    """Pairs of blocks unfold to the rows of the join: null times, hours without weather, repeated rows, empty sides, blocks of one batch and of many."""
+    monkeypatch.setattr(enrich, "BLOCK_BYTES", least)
+    trips = trip_rows(spark, 60).drop("weather_temperature_c", "weather_precipitation_mm")
+    trips = trips.union(trips.limit(3)).union(trips.limit(2).withColumn("pickup_datetime", F.lit(None).cast("timestamp"))).repartition(3)
+    seen = seen_rows(spark, 40, 5).union(seen_rows(spark, 2, 5).withColumn("observation_time", F.lit(None).cast("timestamp"))).repartition(2)
+    for left, right in ((trips, seen), (trips, seen.where("false")), (trips.where("false"), seen)):
+        want = enrich.join_weather(left, right)
+        found = enrich.unfold_weather(enrich.pair_weather(left, right))
+        assert found.columns == want.columns and sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+
+
+def test_weather_pair_stream(spark, tmp_path):
+    """The stream keeps and writes blocks, not a row for each trip and observation, and unfolds to what weather_stream gives, unmatched trips of past hours included."""
+    trips = trip_rows(spark, 200).drop("weather_temperature_c", "weather_precipitation_mm")
+    seen = seen_rows(spark, 400, 1).where("hour(observation_time) != 10").union(seen_rows(spark, 24, 60).where("hour(observation_time) > 20"))
+    want = queries._run(jobs.weather_stream(streamed(spark, trips, f"{tmp_path}/t", 3), streamed(spark, seen, f"{tmp_path}/w", 2)), "t4")
+    pairs = queries._run(jobs.weather_pair_stream(streamed(spark, trips, f"{tmp_path}/t2", 3), streamed(spark, seen, f"{tmp_path}/w2", 2)), "t5")
+    found = enrich.unfold_weather(pairs)
+    assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+    assert found.where("weather_observation_time is null").count() > 0 and pairs.count() * 20 < found.count()
+
+
 def test_demand_fan_out(spark, tmp_path):
     rows = trip_rows(spark)
     base = spark.createDataFrame([(z, h, 0.1 if z else 4.0) for z in (0, 1) for h in range(168)], schemas.BASELINE)

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from zonecast import schemas
 from zonecast.functions import temporal
 
 #: Catalyst's estimate up to which a dimension is broadcast by hint; a larger one is left to the planner.
 BROADCAST_BYTES = 64 << 20
+#: Bytes of rows, about, that are put together into blocks at a time.
+BLOCK_BYTES = 8 << 20
 
 
 def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -104,3 +111,54 @@ def fan_out_weather(trips: DataFrame, weather: DataFrame) -> DataFrame:
     width = int(trips.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = right.repartition(width, "_weather_hour").hint("merge")
     return left.join(dealt, F.col("_trip_hour") == F.col("_weather_hour"), "left").drop("_trip_hour", "_weather_hour")
+
+
+def _in_blocks(rows: DataFrame, hour: str, name: str) -> DataFrame:
+    """(hour, array of rows): rows of one hour that stand near each other in a partition are a block; of tables and streams alike, without state."""
+    least = BLOCK_BYTES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def blocks() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            table = table.take(table.select([hour]).append_column("_n", pa.array(np.arange(len(table)))).sort_by([(hour, "ascending"), ("_n", "ascending")]).column("_n"))
+            hours = table.column(hour).combine_chunks()
+            keys = hours.cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+            starts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])
+            columns = {c: table.column(c).combine_chunks() for c in table.column_names if c != hour}
+            struct = pa.StructArray.from_arrays(list(columns.values()), fields=[pa.field(c, x.type) for c, x in columns.items()])
+            lists = pa.ListArray.from_arrays(pa.array([*starts, len(table)], pa.int32()), struct)
+            return pa.RecordBatch.from_arrays([hours.take(pa.array(starts)), lists], names=[hour, name])
+
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+            if size >= least:
+                yield blocks()
+                held, size = [], 0
+        if held:
+            yield blocks()
+
+    one = StructType([StructField(f.name, f.dataType) for f in rows.schema if f.name != hour])
+    return rows.mapInArrow(run, StructType([StructField(hour, rows.schema[hour].dataType), StructField(name, ArrayType(one))]))
+
+
+def pair_weather(trips: DataFrame, weather: DataFrame, trip_delay: str | None = None, weather_delay: str | None = None) -> DataFrame:
+    """The rows of join_weather as pairs of blocks (_trips, _observed), where far more comes out than goes in: see unfold_weather.
+
+    All rows of a block have one hour, which is all that the join, the watermarks and the lateness of a row look at, so blocks
+    fare as their rows do.
+    """
+    left, right = (_in_blocks(rows, hour, name) for rows, hour, name in zip(_by_hour(trips, weather), ("_trip_hour", "_weather_hour"), ("_trips", "_observed"), strict=True))
+    if trip_delay is not None:
+        left = left.withWatermark("_trip_hour", trip_delay)
+    if weather_delay is not None:
+        right = right.withWatermark("_weather_hour", weather_delay)
+    return left.join(right, F.col("_trip_hour") == F.col("_weather_hour"), "left").select("_trips", "_observed")
+
+
+def unfold_weather(pairs: DataFrame) -> DataFrame:
+    """A row for each trip and observation of each pair of blocks; trips of a block without observations stay, with nulls."""
+    told = pairs.select(F.explode("_trips").alias("_trip"), "_observed").select("_trip", F.explode_outer("_observed").alias("_seen"))
+    return told.select("_trip.*", "_seen.*")

@@ -646,9 +646,11 @@ where w.observation_time is not null or date_trunc('hour', pickup_datetime) <= m
 
 @query(STREAM_WEATHER_SQL)
 def stream_weather_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream's table holds pairs of blocks of trips and observations: every trip of an hour meets each of its observations."""
     weather = _instants(a.raw_weather(_event_stream(spark, sf_dir)), "observation_time")
-    joined = jobs.weather_stream(_stream_trips(spark, sf_dir), weather)
-    return _run(joined.select("event_id", "weather_temperature_c", "weather_condition"), "weather")
+    trips = _stream_trips(spark, sf_dir).select("event_id", "pickup_datetime")
+    pairs = _run(jobs.weather_pair_stream(trips, weather), "weather")
+    return enrich.unfold_weather(pairs).select("event_id", "weather_temperature_c", "weather_condition")
 
 
 @query(f"with {a.FINE_SQL}, {FLOW_CTE} select {DEGREE_OUT_SQL} from flows")

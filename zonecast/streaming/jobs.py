@@ -68,6 +68,11 @@ def weather_stream(trips: DataFrame, weather: DataFrame, trip_delay: str = TRIP_
     return enrich.join_weather(trips, weather, trip_delay, weather_delay)
 
 
+def weather_pair_stream(trips: DataFrame, weather: DataFrame, trip_delay: str = TRIP_DELAY, weather_delay: str = WEATHER_DELAY) -> DataFrame:
+    """weather_stream by pairs of blocks, for hours of many observations: rows are made where they are read, by enrich.unfold_weather."""
+    return enrich.pair_weather(trips, weather, trip_delay, weather_delay)
+
+
 def demand_stream(trips: DataFrame, mode: str = "both_sides", delay: str = TRIP_DELAY) -> DataFrame:
     """Each window once, after the watermark has passed its end; later rows are dropped."""
     return demand.zone_demand(trips, mode=mode, delay=delay)
