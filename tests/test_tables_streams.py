@@ -205,12 +205,21 @@ def test_weather_pairs_equal_rows(spark, monkeypatch, least):
         assert found.columns == want.columns and sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
 
 
+def in_order(spark, df, time, path):
+    """A stream of a file for every six hours, in their order, and at last some rows of the first again, which come late."""
+    part = F.floor((F.unix_timestamp(time) - F.unix_timestamp(F.to_timestamp(F.lit(DAY + "08:00")))) / 21600)
+    for rows in (*(df.where(part == k) for k in range(4)), df.where((part == 0) & (F.minute(time) == 0))):
+        rows.repartition(1).write.mode("append").parquet(path)
+    return lambda: spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def test_weather_pair_stream(spark, tmp_path):
-    """The stream keeps and writes blocks, not a row for each trip and observation, and unfolds to what weather_stream gives, unmatched trips of past hours included."""
+    """The stream keeps and writes blocks, not a row for each trip and observation, and unfolds to what weather_stream gives, unmatched trips of past hours included, late rows not."""
     trips = trip_rows(spark, 200).drop("weather_temperature_c", "weather_precipitation_mm")
     seen = seen_rows(spark, 400, 1).where("hour(observation_time) != 10").union(seen_rows(spark, 24, 60).where("hour(observation_time) > 20"))
-    want = queries._run(jobs.weather_stream(streamed(spark, trips, f"{tmp_path}/t", 3), streamed(spark, seen, f"{tmp_path}/w", 2)), "t4")
-    pairs = queries._run(jobs.weather_pair_stream(streamed(spark, trips, f"{tmp_path}/t2", 3), streamed(spark, seen, f"{tmp_path}/w2", 2)), "t5")
+    told, observed = in_order(spark, trips, "pickup_datetime", f"{tmp_path}/t"), in_order(spark, seen, "observation_time", f"{tmp_path}/w")
+    want = queries._run(jobs.weather_stream(told(), observed()), "t4")
+    pairs = queries._run(jobs.weather_pair_stream(told(), observed()), "t5")
     found = enrich.unfold_weather(pairs)
     assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
     assert found.where("weather_observation_time is null").count() > 0 and pairs.count() * 20 < found.count()
