@@ -148,3 +148,26 @@ def test_fan_out_keeps_its_partitions(spark):
     assert sorted(map(repr, found)) == sorted(map(repr, plain)) and len(found) > 400
     tasks = lambda df: df.select(F.spark_partition_id()).distinct().count()
     assert tasks(enrich.fan_out_weather(trips, weather)) > 1 == tasks(enrich.join_weather(trips, weather))
+
+
+def test_fan_out_tells_observations_once(spark):
+    """What is made of an observation is made before the join, whatever comes out; the observations of an hour come in one order, like ones together."""
+    trips = spark.sql("select id as event_id, timestamp'2024-01-01 00:30:00' as pickup_datetime from range(100)").repartition(3)
+    weather = spark.sql(
+        """select timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, id % 5) as observation_time, double(id % 5) as temperature_c, 0d as precipitation_mm,
+        1d as wind_speed_ms, 2d as humidity_pct, if(id % 2 = 0, 'Clear', 'Rain') as weather_condition from range(40)"""
+    ).repartition(5)
+    made = spark.sparkContext.accumulator(0)
+
+    def stamped(t):
+        made.add(1)
+        return str(t)
+
+    told = lambda df: df.withColumn("weather_observation_time", F.udf(stamped)("weather_observation_time"))
+    rows = enrich.fan_out_weather(trips, weather, told).collect()
+    assert made.value == 40 and len(rows) == 4000
+    assert sorted(map(repr, rows)) == sorted(map(repr, told(enrich.join_weather(trips, weather)).collect()))
+    seen = {}
+    for r in rows:
+        seen.setdefault(r.event_id, []).append((r.weather_condition, r.weather_observation_time, r.weather_temperature_c))
+    assert all(x == sorted(x) for x in seen.values())
