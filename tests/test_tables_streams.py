@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from zonecast import schemas
 from zonecast.functions import codec
 from zonecast.operators import demand, enrich, flows
 from zonecast.plans import queries
+from zonecast.session import shared_folder
 from zonecast.sources import readers, tables
 from zonecast.streaming import jobs
 
@@ -225,6 +227,40 @@ def test_weather_pair_stream(spark, tmp_path):
     assert found.where("weather_observation_time is null").count() > 0 and pairs.count() * 20 < found.count()
 
 
+def test_kept_pairs_unfold_by_merge(spark, tmp_path):
+    """Pairs that a table keeps give the rows that nested explodes give: equal pairs, repeated rows, trips without observations, null hours."""
+    trips = trip_rows(spark, 60).drop("weather_temperature_c", "weather_precipitation_mm")
+    trips = trips.union(trips.limit(3)).union(trips.limit(2).withColumn("pickup_datetime", F.lit(None).cast("timestamp"))).repartition(3)
+    seen = seen_rows(spark, 40, 5)
+    both = enrich.pair_weather(trips, seen)
+    for pairs in (both.union(both), enrich.pair_weather(trips, seen.where("false")), both.where("false")):
+        pairs.write.mode("overwrite").parquet(f"{tmp_path}/pairs")
+        kept = spark.read.parquet(f"{tmp_path}/pairs").withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
+        want = enrich.unfold_weather(kept)
+        found = enrich.unfold_kept_weather(kept, "_file", "_row")
+        assert found.columns == want.columns and sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+
+
+def test_weather_query_holds_no_product(spark, tmp_path):
+    """The query's rows come out of a join of exploded blocks, its topic is written once, and its state has a partition for each core at most."""
+    path = "/root/testdata/sf0.001"
+    if not os.path.isdir(path):
+        pytest.skip("no test data")
+    shared = shared_folder(spark).removeprefix("file:")
+    before, width = set(os.listdir(shared)), spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "9")
+        plan = queries.stream_weather_join(spark, path)._jdf.queryExecution().optimizedPlan().toString()
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "9"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+    made = sorted(set(os.listdir(shared)) - before)
+    assert sum("-topic-" in x for x in made) == 1
+    (stream,) = (x for x in made if "-stream-weather-" in x)
+    assert len([x for x in os.listdir(f"{shared}/{stream}/checkpoint/state/0") if x.isdigit()]) == spark.sparkContext.defaultParallelism < 9
+    assert 0 <= plan.find("Join LeftOuter") < plan.find("Generate explode") and plan.count("Generate explode") == 2
+
+
 def test_demand_fan_out(spark, tmp_path):
     rows = trip_rows(spark)
     base = spark.createDataFrame([(z, h, 0.1 if z else 4.0) for z in (0, 1) for h in range(168)], schemas.BASELINE)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -167,3 +169,16 @@ def unfold_weather(pairs: DataFrame) -> DataFrame:
     """A row for each trip and observation of each pair of blocks; trips of a block without observations stay, with nulls."""
     told = pairs.select(F.explode("_trips").alias("_trip"), "_observed").select("_trip", F.explode_outer("_observed").alias("_seen"))
     return told.select("_trip.*", "_seen.*")
+
+
+def unfold_kept_weather(pairs: DataFrame, *key: str) -> DataFrame:
+    """The rows of unfold_weather, of pairs that stand in a table and have a key of their own.
+
+    Nested explodes hold all rows of a pair at once. Here both blocks become rows that are merged by the key, so a task
+    holds one block's observations, and partitions are not joined to fewer by the bytes that go in.
+    """
+    width = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    trips, seen = (pairs.select(*key, F.explode(c).alias("_one")).select(*key, "_one.*").repartition(width, *key) for c in ("_trips", "_observed"))
+    seen = seen.withColumnsRenamed({k: f"_of{k}" for k in key})
+    same = reduce(and_, (F.col(k) == F.col(f"_of{k}") for k in key))
+    return trips.join(seen.hint("merge"), same, "left").drop(*key, *(f"_of{k}" for k in key))

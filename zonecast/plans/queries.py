@@ -583,12 +583,20 @@ def _instants(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("timestamp") for n in names})
 
 
-def _run(df: DataFrame, name: str) -> DataFrame:
-    """Run a stream over what is there, into a table in the shared folder, and read that."""
+def _run(df: DataFrame, name: str, few: bool = False) -> DataFrame:
+    """Run a stream over what is there, into a table in the shared folder, and read that. few: of few rows in its state, which takes a partition for each core at most."""
     spark = df.sparkSession
     folder = scratch_folder(spark, f"stream-{name}")
     writer = df.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
-    writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    width = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        if few:
+            spark.conf.set("spark.sql.shuffle.partitions", min(int(width), spark.sparkContext.defaultParallelism))
+        # A query keeps the settings that it starts with.
+        running = writer.outputMode("append").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+    running.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{folder}/out")
 
 
@@ -650,10 +658,14 @@ where w.observation_time is not null or date_trunc('hour', pickup_datetime) <= m
 @query(STREAM_WEATHER_SQL)
 def stream_weather_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stream's table holds pairs of blocks of trips and observations: every trip of an hour meets each of its observations."""
-    weather = _instants(a.raw_weather(_event_stream(spark, sf_dir)), "observation_time")
-    trips = _stream_trips(spark, sf_dir).select("event_id", "pickup_datetime")
-    pairs = _run(jobs.weather_pair_stream(trips, weather), "weather")
-    return enrich.unfold_weather(pairs).select("event_id", "weather_temperature_c", "weather_condition")
+    events, folder = a.table(spark, sf_dir, "events"), scratch_folder(spark, "topic")
+    _topic(events, "ts", folder)
+    # Two streams over one topic.
+    weather = _instants(a.raw_weather(_read_topic(spark, folder, events)), "observation_time")
+    trips = _instants(a.as_trips(_read_topic(spark, folder, events)).select("event_id", "pickup_datetime"), "pickup_datetime")
+    pairs = _run(jobs.weather_pair_stream(trips, weather), "weather", few=True)
+    kept = pairs.withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
+    return enrich.unfold_kept_weather(kept, "_file", "_row").select("event_id", "weather_temperature_c", "weather_condition")
 
 
 @query(f"with {a.FINE_SQL}, {FLOW_CTE} select {DEGREE_OUT_SQL} from flows")
